@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .simhash import op2_simhash
+from .substring import op5_substring
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op5_substring": op5_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
