@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op9_best_fit_packing
 from .simhash import op2_simhash
 from .substring import op5_substring
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_substring": op5_substring,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
