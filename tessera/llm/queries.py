@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .packing import op9_best_fit_packing
 from .simhash import op2_simhash
+from .store import op6_token_store
 from .substring import op5_substring
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_substring": op5_substring,
+    "op6_token_store": op6_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
