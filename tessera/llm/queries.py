@@ -6,8 +6,10 @@ from .packing import op9_best_fit_packing
 from .simhash import op2_simhash
 from .store import op6_token_store
 from .substring import op5_substring
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op5_substring": op5_substring,
     "op6_token_store": op6_token_store,
