@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op9_best_fit_packing
+from .secrets import op7_secret_scan
 from .simhash import op2_simhash
 from .store import op6_token_store
 from .substring import op5_substring
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_substring": op5_substring,
     "op6_token_store": op6_token_store,
+    "op7_secret_scan": op7_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
