@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op9_best_fit_packing
+from .rules import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash import op2_simhash
 from .store import op6_token_store
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_substring": op5_substring,
     "op6_token_store": op6_token_store,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
