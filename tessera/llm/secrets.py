@@ -105,3 +105,23 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(found).alias("spans"),
         F.size(F.filter(found, lambda s: s["live"])).cast("long").alias("n_live"),
     )
+
+
+def masked(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
+    """(doc_id, new_text) of the documents that hold live-looking values, each such span replaced by mask.
+
+    Overlapping spans become one mask. doc_id must be unique; rows without one are left out.
+    """
+    found = scan(docs, **options).select(F.col("doc_id").alias("i"), F.filter("found", lambda s: s["live"]).alias("found"))
+    found = materialize(found.where((F.size("found") > 0) & F.col("i").isNotNull()), "live")
+    ids = found.select("i")
+    few = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= 1 << 20 else ids, F.col("doc_id") == F.col("i"), "left_semi").join(found, F.col("doc_id") == F.col("i"))
+    text = F.col("text").cast("string")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc, s):
+        more = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mask))
+        return F.struct(F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    done = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
+    return few.select("doc_id", done.alias("new_text"))

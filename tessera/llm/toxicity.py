@@ -211,3 +211,15 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
     out = scores(docs, train(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def below(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below limit."""
+
+    def run(batches):
+        make = Featurizer(*model.marks)
+        for b in batches:
+            x = np.array([make(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) < limit))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -74,3 +74,25 @@ def test_tree_splits_large_shards():
         i, j = simhash._near(fps[s : s + 500], fps, 3)
         simhash._merge(other, i + s, j)
     assert (label == other).all()
+
+
+def test_near_copies_by_similarity(spark):
+    import random
+
+    rng = random.Random(4)
+    rows, groups = [], {}
+    for g in range(60):
+        words = [f"w{rng.randrange(100000)}" for _ in range(rng.randrange(60, 400))]
+        for c in range(4):
+            own = list(words)
+            for _ in range(len(own) // 60 if c else 0):  # a few edits: similarity of 0.85 and more
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**9)}"
+            rows.append((g * 10 + c, " ".join(own), 1))
+            groups[g * 10 + c] = g * 10
+    rows += [(9000, None, 1), (9001, "", 1), (9002, "one two", 1), (9003, "ONE two", 1), (None, "x", 1)]
+    groups |= {9000: 9000, 9001: 9000, 9002: 9002, 9003: 9002}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect() if r.doc_id is not None}
+    assert sum(got[i] == c for i, c in groups.items()) >= 0.98 * len(groups)
+    assert all(got[i] // 10 == c // 10 for i, c in groups.items())
+    assert simhash.near_copies(docs.limit(0)).count() == 0
