@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The separators of a word, as code points: space and \t \n \v \f \r.
@@ -56,6 +59,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give free memory back to the system, at the end of a Python task: Spark keeps more idle workers than tasks run at once."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small(batches, rows: int = 256):
+    """The same rows in short batches, so that little is held beside the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     x = x.astype(np.uint64, copy=True)
