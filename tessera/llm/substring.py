@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, slices
-from .wordhash import Words, get_varints, put_varints
+from .common import materialize, mix64, partitions, slices, small
+from .wordhash import Words, get_varints, put_varints, rest
 
 #: Bytes of text that are hashed together.
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Documents with repeats are looked up by a broadcast of their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 1 << 20
 
@@ -41,12 +41,13 @@ _OUT = "kind int, key long, a binary, b binary"
 
 
 def _texts(batches):
-    """(doc ids, encoded texts) in runs of about BATCH bytes; rows without an id are left out here."""
-    for batch in batches:
+    """(doc ids, encoded texts, rows) in runs of about BATCH bytes."""
+    for batch in small(batches, 2048):
         ids = batch.column(0).to_pylist()
         data = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
         for s, t in slices([len(x) for x in data], BATCH):
             yield np.array(ids[s:t], np.int64), data[s:t], batch.slice(s, t - s)
+    rest()
 
 
 def _rows(kind, key, a, b):
@@ -182,8 +183,38 @@ def _candidates(words: Words, hits: list[bytes | None], block: int) -> np.ndarra
     return at[miss[at + block + 1] - miss[at] == 0]
 
 
-def _extend(block: int, n_buckets: int):
-    """Rows: (0, bucket, entries, documents) to meet; (1, doc_id, null, repeats found within the batch)."""
+def _put_places(doc: np.ndarray, start: np.ndarray) -> bytes:
+    """(document, start) pairs; those of a document stand together."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
+    return struct.pack("<ii", len(doc), len(edge) - 1) + doc[edge[:-1]].astype("<i8").tobytes() + np.diff(edge).astype("<i4").tobytes() + put_varints(start)
+
+
+def _get_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    _, m = struct.unpack_from("<ii", data)
+    return np.repeat(np.frombuffer(data, "<i8", m, 8), np.frombuffer(data, "<i4", m, 8 + 8 * m)), get_varints(data[8 + 12 * m :])
+
+
+def _by_shard(doc: np.ndarray, start: np.ndarray, n_shards: int) -> list[tuple[int, bytes]]:
+    """The pairs by a hash of the document."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    shard = (mix64(doc) % np.uint64(n_shards)).astype(np.int64)
+    return [(k, _put_places(d, s)) for k, (d, s) in _bucket_payloads(shard, n_shards, doc, start)]
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """A shard's pairs, one row for each document: its starts, in order and once each."""
+    doc, start = (np.concatenate(v) for v in zip(*map(_get_places, table.column("places").to_pylist()), strict=True))
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
+    doc, start = doc[new], start[new]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
+    return pa.table({"doc_id": pa.array(doc[cuts[:-1]], pa.int64()), "places": pa.array([put_varints(np.diff(start[i:j], prepend=0)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+
+def _extend(block: int, n_buckets: int, n_shards: int):
+    """Rows: (0, bucket, entries, places) to meet; (1, shard, null, repeats found within the batch)."""
     window = 2 * block
 
     def run(batches):
@@ -199,17 +230,15 @@ def _extend(block: int, n_buckets: int):
             order = np.lexsort((start, doc, k1, k0))
             new = np.concatenate([[True], (k0[order][1:] != k0[order][:-1]) | (k1[order][1:] != k1[order][:-1])])
             later = np.sort(order[~new])
-            if len(later):
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc[later])) + 1, [len(later)]])
-                yield _rows([1] * (len(cuts) - 1), doc[later[cuts[:-1]]], [None] * (len(cuts) - 1), [put_varints(np.diff(np.sort(start[later[s:t]]), prepend=0)) if (np.diff(start[later[s:t]]) >= 0).all() else put_varints(np.diff(np.unique(start[later[s:t]]), prepend=0)) for s, t in zip(cuts[:-1], cuts[1:], strict=True)])
+            found = _by_shard(doc[later], start[later], n_shards)
+            if found:
+                yield _rows([1] * len(found), [k for k, _ in found], [None] * len(found), [x for _, x in found])
             mine = np.sort(order[new])
             mine = mine[np.lexsort((start[mine], doc[mine]))]
             bucket = (((k0[mine] >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
             out = []
             for b, (x, y, d, s) in _bucket_payloads(bucket, n_buckets, k0[mine], k1[mine], doc[mine], start[mine]):
-                edge = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]])
-                head = struct.pack("<ii", len(d), len(edge) - 1) + d[edge[:-1]].astype("<i8").tobytes() + np.diff(edge).astype("<i4").tobytes()
-                out.append((b, x.astype("<u8").tobytes() + y.astype("<u4").tobytes(), head + put_varints(s)))
+                out.append((b, x.astype("<u8").tobytes() + y.astype("<u4").tobytes(), _put_places(d, s)))
             for i in range(0, len(out), 512):
                 part = out[i : i + 512]
                 yield _rows([0] * len(part), [b for b, _, _ in part], [x for _, x, _ in part], [y for _, _, y in part])
@@ -217,38 +246,32 @@ def _extend(block: int, n_buckets: int):
     return run
 
 
-def _first_stays(table: pa.Table) -> pa.Table:
-    """All but the first occurrence of each window, by document."""
+def _first_stays(table: pa.Table, n_shards: int) -> pa.Table:
+    """All but the first occurrence of each window of a bucket, by shards of the documents."""
     x, y, doc, start = [], [], [], []
     for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
-        n, m = struct.unpack_from("<ii", b)
-        x.append(np.frombuffer(a, "<u8", n))
-        y.append(np.frombuffer(a, "<u4", n, 8 * n))
-        doc.append(np.repeat(np.frombuffer(b, "<i8", m, 8), np.frombuffer(b, "<i4", m, 8 + 8 * m)))
-        start.append(get_varints(b[8 + 12 * m :]))
+        d, s = _get_places(b)
+        x.append(np.frombuffer(a, "<u8", len(d)))
+        y.append(np.frombuffer(a, "<u4", len(d), 8 * len(d)))
+        doc.append(d)
+        start.append(s)
     x, y, doc, start = (np.concatenate(v) for v in (x, y, doc, start))
     order = np.lexsort((start, doc, y, x))
     old = np.concatenate([[False], (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])])
-    later = order[old]
-    later = later[np.lexsort((start[later], doc[later]))]
-    d, s = doc[later], start[later]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]]) if len(d) else np.zeros(1, np.int64)
-    return pa.table({"doc_id": pa.array(d[cuts[:-1]], pa.int64()), "places": pa.array([put_varints(np.diff(np.unique(s[i:j]), prepend=0)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
-
-
-def _of_pairs(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    out = _by_shard(doc[order[old]], start[order[old]], n_shards)
+    return pa.table({"shard": pa.array([k for k, _ in out], pa.int64()), "places": pa.array([p for _, p in out], pa.binary())})
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, text, places): documents of docs (doc_id unique, text) that hold repeats, with the starts of repeated windows.
 
-    places is a list of runs of delta-coded window starts (varints).
+    places holds the differences of the window starts as varints.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     block, spark = window // 2, docs.sparkSession
-    n_buckets = max(64, 2 * partitions(spark))
+    n_shards = max(64, partitions(spark))
+    n_buckets = 2 * n_shards
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def meet(t: pa.Table) -> pa.Table:
@@ -258,8 +281,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def first_stays(t: pa.Table) -> pa.Table:
         if t.column("kind")[0].as_py() == 1:
-            return pa.table({"doc_id": t.column("key"), "places": t.column("b")})
-        return _first_stays(t)
+            return pa.table({"shard": t.column("key"), "places": t.column("b")})
+        return _first_stays(t, n_shards)
 
     probes = docs.mapInArrow(_probe(block, n_buckets), _OUT)
     met = probes.groupBy("kind", "key").applyInArrow(meet, "batch long, table binary, places binary")
@@ -267,9 +290,9 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     found = hits.select("doc_id")
     some = docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, "doc_id", "left_semi")
     some = materialize(some.join(hits, "doc_id"), "anchored")
-    entries = some.select("doc_id", "text", "places").mapInArrow(_extend(block, n_buckets), _OUT)
-    later = entries.groupBy("kind", "key").applyInArrow(first_stays, "doc_id long, places binary")
-    later = materialize(_of_pairs(later), "repeats")
+    entries = some.select("doc_id", "text", "places").mapInArrow(_extend(block, n_buckets, n_shards), _OUT)
+    later = entries.groupBy("kind", "key").applyInArrow(first_stays, "shard long, places binary")
+    later = materialize(later.groupBy("shard").applyInArrow(_by_document, "doc_id long, places binary"), "repeats")
     return some.drop("places").join(later, "doc_id")
 
 
@@ -283,10 +306,9 @@ def _cut(window: int):
                 drop = None
                 if places:
                     step = np.zeros(n + 1, np.int64)
-                    for p in places:
-                        at = np.cumsum(get_varints(p))
-                        np.add.at(step, at, 1)
-                        np.add.at(step, at + window, -1)
+                    at = np.cumsum(get_varints(places))
+                    step[at] += 1
+                    step[at + window] -= 1
                     drop = np.cumsum(step)[:-1] > 0
                 r, k = _kept(words, t, drop)
                 counts.append(n)

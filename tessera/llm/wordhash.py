@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 
-from .common import mix64
+from .common import mix64, trim
 
 _LONG_WORD = 256
 
@@ -26,6 +26,13 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
+def rest() -> None:
+    """Forget the powers and give memory back, at the end of a task."""
+    for p in (*_BYTES, *_WORDS):
+        p.up = p.down = np.ones(1, np.uint64)
+    trim()
+
+
 _BYTES = (_Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F))
 _WORDS = (_Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F))
 
