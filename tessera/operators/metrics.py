@@ -74,10 +74,11 @@ def classification(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area by average ranks: only the counts by distinct score are ordered."""
-    by = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("m"))
-    below = F.coalesce(F.sum("m").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = by.select("p", "m", (F.col("p") * (below + F.col("m") / 2.0)).alias("u"))
-    return parts.agg((F.sum("u") / (F.sum("p") * F.sum("m"))).alias("roc_auc"), F.sum("p").alias("positives"), F.sum("m").alias("negatives"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select((F.col(label) == 1).alias("hit"), F.col(score).alias("at"))
+    by = rows.groupBy("at").agg(F.count_if("hit").alias("up"), F.count_if(~F.col("hit")).alias("down"))
+    below = F.coalesce(F.sum("down").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = by.select("up", "down", (F.col("up") * (below + F.col("down") / 2.0)).alias("u"))
+    return parts.agg(F.try_divide(F.sum("u"), F.sum("up") * F.sum("down")).alias("roc_auc"), F.sum("up").alias("positives"), F.sum("down").alias("negatives"))
 
 
 def by_status(df: DataFrame, status: str, y: str, p: str) -> DataFrame:
