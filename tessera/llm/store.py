@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64, shared_dir, slices
+from .common import materialize, mix64, shared_dir, slices, small
 from .packing import default_tokenizer
-from .tokens import encoder
+from .tokens import encoder, rest
 from .wordhash import _WORDS
 
 WINDOW = 16
-#: A cut where the low bits of the rolling hash are zero: every 256 ids on average.
-MASK = np.uint64(255)
-SHORTEST, LONGEST = 64, 2048
+#: A cut where the low bits of the rolling hash are zero: every 512 ids on average.
+MASK = np.uint64(511)
+SHORTEST, LONGEST = 128, 4096
 HASH = 16
 _ROWS = "kind int, hash binary, row long, doc_id long, n_tokens long, payload binary, sizes binary"
 
@@ -87,7 +87,7 @@ def _encode(path: str, end_id: int):
         width = enc.dtype.itemsize
         row = TaskContext.get().partitionId() << 33
         sent: set[bytes] = set()  # chunks of this task, at most 16 bytes for each
-        for batch in batches:
+        for batch in small(batches, 1024):
             docs = [None if x is None else int(x) for x in batch.column(0).to_pylist()]
             raws = [enc.encode(t) + tail for t in batch.column(1).to_pylist()]
             for s, t in slices([len(r) for r in raws], 4 << 20):
@@ -115,6 +115,7 @@ def _encode(path: str, end_id: int):
                     start = end
                 kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["kind", "hash", "row", "doc_id", "n_tokens", "payload", "sizes"])
+        rest(enc)
 
     return run
 
@@ -128,7 +129,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = source.mapInArrow(_encode(tokenizer, end_id), _ROWS)
-    unique = rows.groupBy("kind", "hash", "row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "payload", "sizes")])
+    # a task sends a chunk once already: one sort, after the shuffle, finds those that several tasks sent
+    unique = rows.repartition("kind", "hash", "row").groupBy("kind", "hash", "row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "payload", "sizes")])
     unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
     staged = spark.read.schema(_ROWS).parquet(f"{path}/data").where("kind = 1")
     ordered = staged.select("row", "doc_id", "n_tokens", "hash", "payload", "sizes").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")

@@ -5,18 +5,23 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
+from .common import trim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct chunks that a worker remembers; then it starts anew.
-CACHE = 500_000
+CACHE = 600_000
 
-#: A plain word as its tokenizers split it in any case: letters, then sentence marks. Latin-1 letters only, whose class and case no Unicode version disputes.
-_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: A plain word as its tokenizers split it in any case: one white space, letters, then signs. Latin-1 letters only, whose class and case no Unicode version disputes; no apostrophe, which may begin a suffix.
+_PLAIN = re.compile("([ \\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: White space to Python, but not to every regular expression library.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+_ODD = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+#: White space before a space: there, a text can't be cut at its single spaces.
+_RUN = re.compile(r"\s ")
 
 
 def _byte_letters() -> list[str]:
@@ -49,7 +54,10 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
+        self.signs: dict[str, bytes] = {}
+        self.after_space = _AfterSpace(self)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         inner = [x.get("type") for x in pre.get("pretokenizers", [])]
@@ -63,28 +71,88 @@ class Encoder(dict):
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _merged(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
+    def _merged(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()]))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            out = self[chunk] = self._merged(chunk.lower() if self.lower else chunk)
+            return out
         m = _PLAIN.fullmatch(chunk)
-        if m and (self.spaced or not m[1]):
-            word = m[2].lower() if self.lower else m[1] + m[2]
-            ids = self._merged(word) + (self._merged(m[3]) if m[3] else [])
+        if not m:
+            out = np.array(self._ids(chunk), self.dtype).tobytes()
+        elif m[3]:
+            out = self[m[1] + m[2]] + self._signs(m[3])
+        elif m[1] == "\n":
+            out = self._signs("\n") + self[m[2]]
         else:
-            ids = self._ids(chunk)
-        self[chunk] = out = np.array(ids, self.dtype).tobytes()
+            out = self._merged(m[2].lower() if self.lower else chunk)
+        self[chunk] = out
         return out
 
+    def _spaced_word(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(self.letters[32] + word)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _signs(self, text: str) -> bytes:
+        if text not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            self.signs[text] = self._merged(text)
+        return self.signs[text]
+
     def encode(self, text: str | None) -> bytes:
         """The ids of one text, as bytes of self.dtype. Null is empty."""
         if not text:
             return b""
-        if self.chunks is None or _ODD.search(text):
+        if self.chunks is None or any(c in text for c in _ODD):
             return np.array(self._ids(text), self.dtype).tobytes()
         if len(self) > CACHE:
             self.clear()
-        return b"".join(map(self.__getitem__, self.chunks(text)))
+        if not self.spaced or text[0] == " " or _RUN.search(text):
+            return b"".join(map(self.__getitem__, self.chunks(text)))
+        if len(self.after_space) > CACHE:
+            self.after_space.clear()
+        first, *others = text.split(" ")
+        return b"".join([*map(self.__getitem__, self.chunks(first)), *map(self.after_space.__getitem__, others)])
+
+
+class _AfterSpace(dict):
+    """What follows a single space -> the ids of both. Texts that hold further white space are not remembered."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, rest: str) -> bytes:
+        if rest.isascii():  # the commonest forms, without a search
+            if rest.isalpha():
+                out = self[rest] = self.encoder._spaced_word(rest)
+                return out
+            if rest[-1:] in (",", ".") and rest[:-1].isalpha():
+                out = self[rest] = self[rest[:-1]] + self.encoder._signs(rest[-1])
+                return out
+        first, *others = self.encoder.chunks(" " + rest)
+        if others:
+            return self[first[1:]] + b"".join(map(self.encoder.__getitem__, others))
+        m = _PLAIN.fullmatch(first)
+        if m and m[3]:
+            out = self[m[2]] + self.encoder._signs(m[3])
+        elif m:
+            out = self.encoder._merged(first)
+        else:
+            out = np.array(self.encoder._ids(first), self.encoder.dtype).tobytes()
+        self[rest] = out
+        return out
+
+
+def rest(enc: Encoder) -> None:
+    """Give memory back at the end of a task: Spark keeps more idle workers than tasks run at once."""
+    enc.clear()
+    enc.after_space.clear()
+    trim()
 
 
 _ENCODERS: dict[str, Encoder] = {}
