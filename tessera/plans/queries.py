@@ -635,3 +635,99 @@ def session_windows(spark, sf):
 def json_properties(spark, sf):
     pairs = F.explode(F.from_json("props", "map<string,string>"))
     return table(spark, sf, "events").select("event_id", pairs).select("event_id", "key", "value")
+
+
+# Further operators of metrics, reshaping and comparison
+
+
+@query("""WITH d AS (SELECT quality AS t, length(text) AS score FROM documents JOIN labels USING (doc_id)), g AS (SELECT score, count(*) FILTER (t = 1) AS p, count(*) FILTER (t <> 1) AS m FROM d GROUP BY 1)
+SELECT score, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(m) OVER w / sum(m) OVER (), 6) AS fpr FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""")
+def roc_curve(spark, sf):
+    by = _classes(spark, sf).groupBy("score").agg(F.count_if(F.col("t") == 1).alias("p"), F.count_if(F.col("t") != 1).alias("m"))
+    upto, every = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    return by.select(F.col("score").cast("long").alias("score"), F.round(F.sum("p").over(upto) / F.sum("p").over(every), 6).alias("tpr"), F.round(F.sum("m").over(upto) / F.sum("m").over(every), 6).alias("fpr"))
+
+
+@query("""SELECT floor(value / 50)::BIGINT AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
+def histogram(spark, sf):
+    return rounded(table(spark, sf, "events").groupBy(F.floor(F.col("value") / 50).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")), ["mean"])
+
+
+@query(f"""WITH {_PAIRS_SQL}, s AS (SELECT abs(yi - yj) / greatest(1 - sim, 1e-6) AS sali FROM k WHERE rank <= 5 AND sim >= 0.2 AND NOT (sim >= 1 AND yi = yj))
+SELECT round(quantile_cont(sali, 0.95), 5) AS p95, count(*) AS n_pairs FROM s""")
+def sali_normalizer(spark, sf):
+    y = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
+    pairs = _neighbours(spark, sf).where("sim >= 0.2").join(y.select(F.col("id").alias("i"), F.col("y").alias("yi")), "i").join(y.select(F.col("id").alias("j"), F.col("y").alias("yj")), "j")
+    gap = F.abs(F.col("yi") - F.col("yj"))
+    rows = pairs.where(~((F.col("sim") >= 1) & (gap == 0))).select((gap / F.greatest(1 - F.col("sim"), F.lit(1e-6))).alias("sali"))
+    return rows.agg(F.round(F.percentile("sali", 0.95), 5).alias("p95"), F.count("*").alias("n_pairs"))
+
+
+@query("""SELECT vec_id, CASE WHEN a = 'invalid_features' OR b = 'invalid_features' THEN 'invalid_features' WHEN a = 'out_of_domain' OR b = 'out_of_domain' THEN 'out_of_domain' ELSE 'in_domain' END AS status
+FROM (SELECT vec_id, CASE WHEN embedding[1] > 0.2 THEN 'out_of_domain' ELSE 'in_domain' END AS a, CASE WHEN label = 3 THEN 'invalid_features' ELSE 'in_domain' END AS b FROM embeddings)""")
+def status_combine(spark, sf):
+    a = F.when(F.col("embedding")[0] > 0.2, "out_of_domain").otherwise("in_domain")
+    b = F.when(F.col("label") == 3, "invalid_features").otherwise("in_domain")
+    return table(spark, sf, "embeddings").select("vec_id", similarity.combine_status(a, b).alias("status"))
+
+
+@query("""SELECT vec_id, len(embedding)::INT AS size, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings""")
+def parse_vectors(spark, sf):
+    """Vectors as text, parsed again: of full length and finite."""
+    text = table(spark, sf, "embeddings").select("vec_id", F.to_json(F.col("embedding").cast("array<double>")).alias("s"))
+    parsed = text.withColumn("v", F.from_json("s", "array<double>")).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return parsed.select("vec_id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("""SELECT s_nationkey, count(*) AS n, arg_max(s_suppkey, s_acctbal) AS best, arg_min(s_suppkey, s_acctbal) AS worst FROM supplier GROUP BY 1""")
+def recommendations(spark, sf):
+    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.max_by("s_suppkey", "s_acctbal").alias("best"), F.min_by("s_suppkey", "s_acctbal").alias("worst"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY f) - 1 AS k FROM (SELECT p_partkey, p_brand, min(p_partkey) OVER (PARTITION BY p_brand) AS f FROM part WHERE p_partkey % 2 = 0))
+SELECT part.p_partkey, coalesce(m.k, -1)::INT AS code FROM part LEFT JOIN (SELECT DISTINCT p_brand, k FROM c) m USING (p_brand) WHERE part.p_partkey % 2 = 1""")
+def category_codes(spark, sf):
+    """Codes in the order in which training rows (even keys) first show a category; -1 for others."""
+    part = table(spark, sf, "part").select("p_partkey", "p_brand")
+    seen = frame.unique(part.where("p_partkey % 2 = 0"), "p_brand", "p_partkey")
+    codes = seen.select("p_brand", (F.row_number().over(Window.orderBy("first_seen")) - 1).cast("int").alias("code"))
+    return part.where("p_partkey % 2 = 1").join(codes, "p_brand", "left").select("p_partkey", F.coalesce("code", F.lit(-1)).alias("code"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS q90, round(quantile_cont(value, 0.95), 6) AS q95, CASE WHEN avg(value) / max(value) >= 0.9 THEN 'excellent'
+  WHEN avg(value) / max(value) >= 0.8 THEN 'good' WHEN avg(value) / max(value) >= 0.7 THEN 'acceptable' ELSE 'poor' END AS rating FROM events GROUP BY 1""")
+def numeric_summary(spark, sf):
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
+    out = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), q.alias("q"), (F.avg("value") / F.max("value")).alias("score"))
+    names = ("median", "q90", "q95")
+    return out.select("event_type", "n", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(names)], scalars.rating(F.col("score")).alias("rating"))
+
+
+@query("""WITH a AS (SELECT l_returnflag AS k, avg(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_returnflag AS k, avg(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+SELECT k AS l_returnflag, round(a.v, 6) AS first_run, round(b.v, 6) AS second_run, round(b.v - a.v, 6) AS difference FROM a FULL JOIN b USING (k)""")
+def run_comparison(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    one = lambda status, name: lines.where(F.col("l_linestatus") == status).groupBy("l_returnflag").agg(F.avg("l_quantity").alias(name))
+    out = one("F", "first_run").join(one("O", "second_run"), "l_returnflag", "full").withColumn("difference", F.col("second_run") - F.col("first_run"))
+    return rounded(out, ["first_run", "second_run", "difference"])
+
+
+@query("""SELECT count(*) - count(DISTINCT text) AS duplicate_rows, count(DISTINCT text) AS distinct_rows FROM documents""")
+def duplicate_rows(spark, sf):
+    groups = table(spark, sf, "documents").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.count("*").alias("n"))
+    return groups.agg(F.sum(F.col("n") - 1).alias("duplicate_rows"), F.count("*").alias("distinct_rows"))
+
+
+@query("""SELECT p_partkey, round(std, 4) AS std FROM (SELECT p_partkey, stddev_pop(v) AS std FROM (SELECT p_partkey, unnest([p_retailprice, p_size * 30.0, (p_partkey % 97) * 10.0]) AS v FROM part) GROUP BY 1) ORDER BY std DESC, p_partkey LIMIT 5""")
+def top_disagreement(spark, sf):
+    df = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("a"), (F.col("p_size") * 30.0).alias("b"), ((F.col("p_partkey") % 97) * 10.0).alias("c"))
+    out = ensemble.regression(df, "p_partkey", ["a", "b", "c"]).orderBy(F.desc("std"), "p_partkey").limit(5)
+    return rounded(out.select("p_partkey", "std"), ["std"], 4)
+
+
+@query("""SELECT n_name, r_name, count(s_suppkey) AS n_suppliers, round(coalesce(sum(s_acctbal), 0), 2) AS balance FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""")
+def enriched_nations(spark, sf):
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    by = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.sum("s_acctbal").alias("b"))
+    out = nations.join(by, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return rounded(out.select("n_name", "r_name", F.coalesce("n", F.lit(0)).alias("n_suppliers"), F.coalesce("b", F.lit(0.0)).alias("balance")), ["balance"], 2)
