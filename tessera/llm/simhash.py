@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, small
 from .graph import connected_components
 
 BITS = 64
@@ -232,7 +232,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     shape = np.dtype([(f"w{k}", "<u8") for k in range(words)])
 
     def mark(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = [wide_fingerprint(t, shingle, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "fp"])
 

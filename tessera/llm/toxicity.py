@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small, trim
 from .gbt import Trees, fit, isotonic
 
 #: Insults and slurs against a person in the languages that we expect (fixed values).
@@ -47,7 +48,7 @@ LEXICAL, STRONG, WEAK, YOU, SHOUTED, DISGUISED, MASKED, STRETCHED = (1 << k for
 #: Lengths of the word beginnings that may become marks beside whole words.
 STEMS = (4, 5, 6)
 #: Distinct words that a worker remembers; then it starts anew.
-CACHE = 400_000
+CACHE = 300_000
 
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
 _STRETCH = re.compile(r"(\w)\1\1")
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 
 def _count_stems(batches):
-    for b in batches:
+    for b in small(batches, 1024):
         inside, outside = Counter(), Counter()
         for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             own = set()
@@ -182,9 +183,11 @@ def marking_words(sample: DataFrame) -> tuple[list[str], list[str]]:
 def _features(docs: DataFrame, marks: tuple[list[str], list[str]], *keep: str) -> DataFrame:
     def run(batches):
         make = Featurizer(*marks)
-        for b in batches:
+        for b in small(batches):
             x = [make(t) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
+        make.clear()
+        trim()
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}, x array<double>")
@@ -195,9 +198,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         make = Featurizer(*model.marks)
-        for b in batches:
+        for b in small(batches):
             x = np.array([make(t) for t in b.column(1).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+        make.clear()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -218,8 +223,10 @@ def below(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def run(batches):
         make = Featurizer(*model.marks)
-        for b in batches:
+        for b in small(batches):
             x = np.array([make(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) < limit))
+        make.clear()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
