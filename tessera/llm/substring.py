@@ -339,7 +339,8 @@ def _digests(batches):
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Rows without a doc_id have no place in the order of documents and are left out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id is not null")
     cut = materialize(remove_repeats(docs, 20).select("doc_id", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("cut_sha")), "cut")
     whole = docs.mapInArrow(_digests, "doc_id long, n_words long, sha string")
     return whole.join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))

@@ -26,7 +26,8 @@ def brute(rows, window=20):
 
 
 def check(spark, tmp_path, rows):
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    with_more = [(*r, "x") for r in [*rows, (None, "a " * 50)]]  # a row without an id, and a column of a clashing name
+    spark.createDataFrame(with_more, "doc_id long, text string, places string").repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.op5_substring(spark, str(tmp_path)).collect()}
     assert got == brute(rows)
 
