@@ -33,7 +33,7 @@ from .common import materialize, mix64, partitions, slices, small
 from .wordhash import Words, get_varints, put_varints, rest
 
 #: Bytes of text that are hashed together.
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Documents with repeats are looked up by a broadcast of their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 1 << 20
 
