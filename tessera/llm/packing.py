@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
-from .tokens import encoder
+from .common import materialize, small
+from .tokens import encoder, rest
+
+#: Counts by task and length are broadcast up to this many (about 8 MB), joined by a shuffle beyond.
+BROADCAST_ROWS = 1 << 18
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), in order
 
@@ -168,7 +171,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
         enc, pid, ranks = encoder(path), TaskContext.get().partitionId(), {}
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "rank"]
-        for batch in batches:
+        for batch in small(batches):
             out = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = enc.encode(text)
@@ -184,6 +187,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                         column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+        rest(enc)
 
     return run
 
@@ -206,6 +210,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select(F.col("pid").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     base = materialize(base, "bases")
+    if base.count() <= BROADCAST_ROWS:
+        base = F.broadcast(base)
     ranked = pieces.join(base, (pieces.pid == base.p) & (pieces.length == base.l)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank")
     )
