@@ -73,10 +73,10 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hamming distances; fingerprints are single words, or (in structured shape) rows of words in the last axis."""
+    """Hamming distances; fingerprints are single words, or structured with the words in the fields w0, w1 and so on."""
     if x.dtype.names is None:
         return np.bitwise_count(x ^ y)
-    names = x.dtype.names
+    names = [k for k in x.dtype.names if k[0] == "w"]
     total = np.bitwise_count(x[names[0]] ^ y[names[0]]).astype(np.uint16)
     for k in names[1:]:
         total += np.bitwise_count(x[k] ^ y[k])
@@ -150,12 +150,12 @@ def _shards(radius: int):
     return run
 
 
-def _within_shards(read, radius: int):
-    """Links within each run of equal shards; read gives the names and the fingerprints of a batch."""
+def _within_shards(read, find):
+    """Links within each run of equal shards; read gives the names and the fingerprints of a batch, find(shard, names, fingerprints) the links."""
 
-    def close(names, fps):
+    def close(shard, names, fps):
         name, at = np.unique(np.concatenate(names), return_index=True)
-        return local_links(name, np.concatenate(fps)[at], radius) if len(name) > 1 else ()
+        return find(int(shard), name, np.concatenate(fps)[at]) if len(name) > 1 else ()
 
     def run(batches):
         shard, names, fps = None, [], []
@@ -169,13 +169,13 @@ def _within_shards(read, radius: int):
             for s, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if keys[s] != shard:
                     if names and (len(names) > 1 or len(names[0]) > 1):
-                        found.append(close(names, fps))
+                        found.append(close(shard, names, fps))
                     shard, names, fps = keys[s], [], []
                 names.append(name[s:t])
                 fps.append(fp[s:t])
             yield emit(found)
         if names:
-            yield emit([close(names, fps)])
+            yield emit([close(shard, names, fps)])
 
     def emit(found):
         found = [x for x in found if len(x) and len(x[0])]
@@ -199,20 +199,101 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         x = column.to_numpy(zero_copy_only=False)
         return x, x.view(np.uint64)
 
-    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_within_shards(lambda b: both(b.column(1)), radius), "a long, b long")
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        _within_shards(lambda b: both(b.column(1)), lambda _, name, fp: local_links(name, fp, radius)), "a long, b long"
+    )
+
 
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    return np.unique(_hashes(text, shingle, 42))
 
-def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
-    """words 64-bit SimHashes of the set of shingles, each over its own mixing of their hashes."""
-    h = np.unique(_hashes(text, shingle, 42))
+
+def wide_fingerprint(h: np.ndarray, words: int) -> bytes:
+    """words 64-bit SimHashes of a set of hashes, each over its own mixing of them."""
     salt = mix64(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return np.array([_majority(mix64(h ^ s).astype("<u8")) for s in salt], "<u8").tobytes()
 
 
+def _set_name(h: np.ndarray) -> int:
+    """A signed 64-bit name of a set of hashes."""
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), 7)], np.uint64).view(np.int64)[0])
+
+
 def radius_for(similarity: float, bits: int) -> int:
-    """The distance that fingerprints of two equally large sets of that Jaccard similarity seldom exceed: the mean and 1.5 deviations."""
+    """The distance that fingerprints of two sets of that Jaccard similarity exceed about once in a thousand: the mean and 3 deviations.
+
+    Equally large sets are the worst case: others of that similarity have a greater cosine.
+    """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * p + 1.5 * np.sqrt(bits * p * (1 - p))))
+    return int(np.ceil(bits * p + 3 * np.sqrt(bits * p * (1 - p))))
+
+
+def _candidates(fp: np.ndarray, radius: int, similarity: float):
+    """Index pairs (i < j) within radius whose set sizes allow the similarity, in blocks."""
+    size = fp["n"].astype(np.float64)
+    for s in range(0, len(fp), LEAF):
+        for t in range(s, len(fp), LEAF):
+            i, j = _near(fp[s : s + LEAF], fp[t : t + LEAF], radius)
+            keep = i < j if s == t else slice(None)
+            i, j = i[keep] + s, j[keep] + t
+            fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            yield i[fits], j[fits]
+
+
+def _stars(shard: int, name: np.ndarray, fp: np.ndarray, radius: int, similarity: float, orders: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each member with a candidate in the shard, the pair with the one that is first in the band's order: as many pairs as members at most."""
+    order = np.argsort(mix64(name.view(np.uint64) + np.uint64((shard >> width) % orders)))
+    place = np.empty(len(name), np.int64)
+    place[order] = np.arange(len(name))
+    best = np.full(len(name), len(name), np.int64)
+    for i, j in _candidates(fp, radius, similarity):
+        np.minimum.at(best, i, place[j])
+        np.minimum.at(best, j, place[i])
+    has = np.flatnonzero(best < len(name))
+    return name[has], name[order[best[has]]]
+
+
+def _across(shard: int, name: np.ndarray, fp: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, name) of every member that has a candidate of another label in the shard: members, never pairs."""
+    has = np.zeros(len(name), bool)
+    for i, j in _candidates(fp, radius, similarity):
+        differ = fp["label"][i] != fp["label"][j]
+        has[i[differ]] = has[j[differ]] = True
+    return np.full(has.sum(), shard), name[has]
+
+
+def _similar(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two sets of hashes, sorted and as bytes, have that Jaccard similarity at least."""
+    h, g = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    both = len(np.intersect1d(h, g, assume_unique=True))
+    return both >= similarity * (len(h) + len(g) - both) - 1e-9
+
+
+def _joined(name: np.ndarray, fp: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of that similarity that join the labels of a shard: every candidate pair is counted on its sets unless links join its ends already."""
+    label, found = np.unique(fp["label"], return_inverse=True)[1], []
+    for i, j in _candidates(fp, radius, similarity):
+        differ = label[i] != label[j]
+        for a, b in zip(i[differ].tolist(), j[differ].tolist(), strict=True):
+            if label[a] != label[b] and _similar(fp["set"][a], fp["set"][b], similarity):
+                found.append((a, b))
+                label[label == label[b]] = label[a]
+    at = np.array(found, np.int64).reshape(-1, 2)
+    return name[at[:, 0]], name[at[:, 1]]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, set) have that Jaccard similarity at least, counted exactly."""
+
+    def run(batches):
+        for batch in small(batches):
+            keep = [_similar(x.as_buffer(), y.as_buffer(), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(f"n{k}"), F.col("set").alias(f"set{k}")) for k in (0, 1))
+    held = pairs.join(left, F.col("a") == F.col("n0")).select("a", "b", "set0").join(right, F.col("b") == F.col("n1"))
+    return held.select("a", "b", "set0", "set1").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, width: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,42 +302,89 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     At a similarity of 0.8 single 64-bit fingerprints differ in about ten bits, beyond
     any search by a few; so `words` fingerprints are laid side by side, a tree is grown
     for each band of `width` bits with search radius zero, and within a shard those
-    within radius_for(similarity) bits of all are linked. A pair is found if one band
-    agrees: of pairs at similarity 0.8, 0.85 and 0.9 about 98, 99.6 and 99.99 in 100
-    with 36 bands (equal texts always). A shard holds one in 2**width fingerprints
+    within radius_for(similarity) bits of all are candidates. Only candidates whose sets
+    of shingles have a Jaccard similarity of `similarity` at least, counted on the sets
+    themselves (64-bit hashes), are linked. They are counted in two rounds: first each
+    set with one candidate a shard, by a few orders; then, for those that have candidates
+    beyond their component, in the shards themselves, where every candidate pair that no
+    links join yet is counted and only joining links are given. Pairs are never written.
+
+    No pair below the similarity is linked. A pair is found if one band agrees and the
+    distance is within the radius: of pairs at similarity 0.8, 0.85 and 0.9 about 98,
+    99.6 and 99.99 in 100 with 36 bands by the formula (equal texts always). A shard
+    holds one in 2**width fingerprints
     beside the near-copies; for far larger corpora raise width, and words with it. component_id is the smallest doc_id reachable. Null and empty
     texts are alike; rows with a null id have a null component.
     """
     radius = radius_for(similarity, words * BITS)
     powers = 1 << np.arange(width, dtype=np.int64)
-    shape = np.dtype([(f"w{k}", "<u8") for k in range(words)])
+    shape = [(f"w{k}", "<u8") for k in range(words)] + [("n", "<u8")]
 
     def mark(batches):
         for batch in small(batches):
-            out = [wide_fingerprint(t, shingle, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "fp"])
+            sets = [_shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            fps = [wide_fingerprint(h, words) + len(h).to_bytes(8, "little") for h in sets]
+            names = pa.array([_set_name(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(fps, pa.binary())], names=["doc_id", "node", "fp"])
+
+    def hold(batches):
+        for batch in small(batches):
+            sets = [_shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_name(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "set"])
 
     def place(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            bits = np.unpackbits(raw, axis=1)
+            bits = np.unpackbits(raw[:, : words * 8], axis=1)
             for band in range(bits.shape[1] // width):
                 key = (band << width) + bits[:, band * width : (band + 1) * width] @ powers
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], names=["shard", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["shard", *batch.schema.names])
 
     def read(batch):
-        return batch.column(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(2).to_pylist()), shape)
+        fields = shape + [("label", "<i8"), ("set", "O")][: batch.num_columns - 3]
+        out = np.empty(batch.num_rows, fields)
+        plain = np.frombuffer(b"".join(batch.column(2).to_pylist()), shape)
+        for k, _ in shape:
+            out[k] = plain[k]
+        if batch.num_columns > 3:
+            out["label"] = batch.column(3).to_numpy(zero_copy_only=False)
+        if batch.num_columns > 4:
+            out["set"] = batch.column(4).to_pylist()
+        return batch.column(1).to_numpy(zero_copy_only=False), out
+
+    def searched(placed: DataFrame, find) -> DataFrame:
+        return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_within_shards(read, find), "a long, b long")
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = materialize(source.mapInArrow(mark, "doc_id long, fp binary"), "wide")
-    nodes = materialize(marks.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    shards = nodes.select("node", "fp").mapInArrow(place, "shard long, node long, fp binary").repartition("shard").sortWithinPartitions("shard")
-    parts = connected_components(shards.mapInArrow(_within_shards(read, radius), "a long, b long")).withColumnRenamed("node", "n")
-    named = nodes.join(parts, F.col("node") == F.col("n"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
+    marks = materialize(source.mapInArrow(mark, "doc_id long, node long, fp binary"), "wide")
+    nodes = materialize(marks.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    first = searched(nodes.select("node", "fp").mapInArrow(place, "shard long, node long, fp binary"), lambda s, name, fp: _stars(s, name, fp, radius, similarity, 4, width))
+    first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    # every set with a candidate is in one of these pairs: the later round has no others
+    some = first.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    active = materialize(nodes.join(some, F.col("node") == F.col("c"), "left_semi"), "active")
+    ids = active.select(F.col("first_id").alias("i"))
+    few = source.join(F.broadcast(ids) if ids.count() <= 1 << 20 else ids, F.col("doc_id") == F.col("i"), "left_semi")
+    sets = materialize(few.select("text").mapInArrow(hold, "node long, set binary"), "sets")
+    alike = materialize(_alike(first, sets, similarity), "alike")
+    parts = connected_components(alike)
+    known = active.join(parts.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
+    known = materialize(known, "known")
+    apart = searched(known.mapInArrow(place, "shard long, node long, fp binary, label long"), lambda s, name, fp: _across(s, name, fp, radius, similarity))
+    apart = materialize(apart.select(F.col("a").alias("shard"), F.col("b").alias("m")), "apart")
+    held = apart.join(known, F.col("m") == F.col("node")).select("shard", "m", "fp", "label").join(sets, F.col("m") == F.col("node"))
+    more = materialize(searched(held.select("shard", "node", "fp", "label", "set"), lambda _, name, fp: _joined(name, fp, radius, similarity)), "more")
+    if not more.isEmpty():
+        parts = connected_components(alike.unionByName(more))
+    parts = materialize(parts.select(F.col("node").alias("p"), "component"), "parts")
+    members = parts.join(nodes, F.col("p") == F.col("node"))
+    roots = members.groupBy(F.col("component").alias("c")).agg(F.min("first_id").alias("root"))
+    named = parts.join(roots, F.col("component") == F.col("c")).select("p", "root")
+    named = nodes.join(named, F.col("node") == F.col("p"), "left").select(F.col("node").alias("f"), F.coalesce("root", "first_id").alias("component_id"))
     named = materialize(named, "classes")
-    return marks.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return marks.join(named, F.col("node") == F.col("f"), "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

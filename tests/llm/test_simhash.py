@@ -96,3 +96,27 @@ def test_near_copies_by_similarity(spark):
     assert sum(got[i] == c for i, c in groups.items()) >= 0.98 * len(groups)
     assert all(got[i] // 10 == c // 10 for i, c in groups.items())
     assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_link_by_exact_similarity(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = {}
+    for g in range(120):  # pairs from 0.70 to 0.90, most within a few bits of the radius
+        words = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        own, tail = list(words), rng.randrange(10, 35)
+        own[204 - tail :] = [f"e{rng.randrange(10**9)}" for _ in range(tail)]
+        texts[10 * g], texts[10 * g + 1] = " ".join(words), " ".join(own)
+    words = [f"c{rng.randrange(10**9)}" for _ in range(500)]
+    texts |= {5000 + k: " ".join(words[15 * k : 15 * k + 204]) for k in range(12)}  # neighbours at 0.86, the next at 0.74
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in texts.items()}
+    alike = [(a, b) for a in texts for b in texts if a < b and a // 10 == b // 10 or a >= 5000 and a < b if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = {i: i for i in texts}
+    for a, b in alike * 12:
+        root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert 30 < sum(root[10 * g + 1] != 10 * g + 1 for g in range(120)) < 90
+    assert not [i for i in texts if root[i] == i and got[i] != i]
+    assert sum(got[i] == c for i, c in root.items()) >= len(texts) - 5
