@@ -5,7 +5,8 @@ registered domain and suffix. At each level a group's rate of bad pages has a Be
 prior centred on its parent's posterior mean without the group's own pages (else they
 would count twice), whose strength comes from how much the
 groups of that level differ (a moment estimate). A host is blocked when the lower
-posterior bound of its rate exceeds a limit: few labels never suffice.
+posterior bound of its rate exceeds a limit: few labels never suffice. Every host of
+the pages is judged, those without labels by their domain, suffix or the whole.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ def reputation(outcomes: DataFrame, limit: float = LIMIT, sure: float = SURE) ->
     """outcomes: (host, n, bad) by host. Gives host, posterior alpha and beta, mean, lower bound, and blocked.
 
     The bound is the mean less `sure` standard deviations of the Beta posterior.
-    Hosts without labels take no row: unknown hosts are not blocked.
+    A host without labels (n = 0) has its domain's posterior as prior and nothing of its own; a
+    domain without labels its suffix's, and a suffix without labels that of the whole.
     """
     domain, suffix = domain_suffix(F.col("host"))
     hosts = materialize(outcomes.withColumns({"domain": domain, "suffix": suffix}), "hosts")
@@ -102,12 +104,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, **options) -> Data
 
     outcomes: (page_id, bad 0 or 1) of labelled pages; a page labelled twice is bad if
     any label says so; nulls are no labels. A rule decides where one fits; elsewhere the
-    host's reputation, and unknown hosts are allowed.
+    host's reputation, which for a host without labels is that of its domain or suffix.
     """
     host, path = host_path(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     marks = outcomes.where("page_id is not null and bad is not null").groupBy(F.col("page_id").alias("labelled")).agg(F.max("bad").cast("long").alias("bad"))
-    counted = parsed.join(marks, F.col("page_id") == F.col("labelled")).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    counted = parsed.join(marks, F.col("page_id") == F.col("labelled"), "left").groupBy("host").agg(F.count("labelled").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     known = materialize(reputation(counted, **options).select(F.col("host").alias("known"), "blocked").where("blocked"), "reputation")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     out = parsed.join(known, F.col("host") == F.col("known"), "left")

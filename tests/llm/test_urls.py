@@ -36,3 +36,19 @@ def test_rules_and_parts(spark, tmp_path):
     pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
     none = spark.createDataFrame([], "page_id long, bad int")
     assert urls.judge(pages.limit(0), none).count() == 0 and urls.judge(pages, none).count() == len(rows)
+
+
+def test_hosts_without_labels_have_the_posterior_of_their_domain(spark):
+    hosts = [f"r{k}.bad.net" for k in range(40)] + [f"r{k}.good.net" for k in range(40)]
+    rows = [(100 * k + i, f"http://{h}/{i}") for k, h in enumerate(hosts) for i in range(10)]
+    marks = [(i, int(".bad." in u)) for i, u in rows]
+    fresh = {9001: "http://new.bad.net/x", 9002: "http://new.good.net/x", 9003: "http://bad.net/", 9004: "http://a.b.bad.net:80/", 9005: "http://other.net/", 9006: "http://x.test/", 9007: "http://new.bad.net/de/", 9008: "http://n.com/fr/"}
+    pages = spark.createDataFrame(rows + list(fresh.items()), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, spark.createDataFrame(marks, "page_id long, bad int")).collect()}
+    assert [got[i] for i in fresh] == ["block", "allow", "block", "block", "allow", "allow", "block", "allow"]
+    assert all(got[i] == ("block" if b else "allow") for i, b in marks)
+    outcomes = spark.createDataFrame([("a.bad.net", 900, 810), ("b.bad.net", 100, 90), ("c.bad.net", 0, 0), ("x.fine.org", 1000, 100)], "host string, n long, bad long")
+    r = {r.host: r for r in urls.reputation(outcomes).collect()}
+    c = r["c.bad.net"]
+    assert (c.n, c.bad) == (0, 0) and abs(c.mean - 0.9) < 0.01 and abs(c.low - (c.mean - urls.SURE * (c.mean * (1 - c.mean) / (c.alpha + c.beta + 1)) ** 0.5)) < 1e-9
+    assert c.blocked and not r["x.fine.org"].blocked
