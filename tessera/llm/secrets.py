@@ -20,7 +20,10 @@ BASE = (
     ("hex", r"[0-9a-f]{24}", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 )
 #: Long unbroken values without a known form. They count only where few owners hold them.
-GENERIC = ("generic", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])", 0, 20)
+GENERIC = ("generic", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", 0, 20)
+#: Paths and rules: three slashes or a double dash, and every part between separators is a word or a number. Random keys have such parts only by chance.
+SEPARATED = "/[^/]*/[^/]*/|--"
+WORDS = "^[+/_-]*+(?:(?:[A-Z]?[a-z]*+[0-9]{0,4}+|[a-z]*+(?:[A-Z][a-z]++){0,4}+[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[0-9]++)(?:[+/_-]++|$))*+$"
 KINDS = (*[b[0] for b in BASE], GENERIC[0])
 #: A value held by more owners than this is an example that went round.
 FEW_OWNERS = 2
@@ -38,7 +41,7 @@ def _matches(text: Column, number: int, gate: str, pattern: str, group: int) ->
             F.lit(number).alias("kind"), i.alias("pos"), F.length(p["g"]).alias("gap"), F.length(p["w"]).alias("len"), F.length(p["v"]).alias("value_len"),
             # enough of a digest to tell values apart without keeping them
             F.substring(F.sha2(p["v"].cast("binary"), 256), 1, 32).alias("value"),
-            (p["v"].rlike("[0-9]") & p["v"].rlike("[A-Za-z]") & ~p["v"].rlike("(?:/.*){3}|--")).alias("mixed"),
+            (p["v"].rlike("[0-9]") & p["v"].rlike("[A-Za-z]") & ~(p["v"].rlike(SEPARATED) & p["v"].rlike(WORDS))).alias("mixed"),
         ),
     )
     return F.when(text.rlike(gate), found).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,len:int,value_len:int,value:string,mixed:boolean>>"))
@@ -51,7 +54,8 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str,
     in KINDS), start, end (code points, end exclusive), owners, repositories, live. A
     value is live-looking if few_owners owners or fewer hold it anywhere in the corpus;
     a null owner counts as one. Base kinds are always given; GENERIC ones only if they
-    are live, hold digits and letters, and touch no base span. Null texts are empty.
+    are live, hold digits and letters, are no paths (WORDS), and touch no base span.
+    Null texts are empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = [*BASE, GENERIC]

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import string
+
+from pyspark.sql import functions as F
 
 from tessera.llm import secrets
 
@@ -50,3 +54,20 @@ def test_hard_cases(spark, tmp_path):
     assert "generic:4:" in spans[12]
     assert secrets.scan(df.limit(0)).count() == 0
     assert secrets.scan(df.union(df)).count() == 2 * len(rows)
+
+
+def test_long_keys_and_keys_with_slashes(spark):
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    own = {
+        1: f"{key(30)}7a{key(300)}", 2: f"{key(12)}/{key(9)}3/{key(11)}/q{key(14)}", 3: f"{key(15)}8b--{key(20)}",
+        4: f"{key(2000)}x1", 5: "/".join(key(14) + "5d" for _ in range(30)),
+    }
+    paths = {10: "/usr/local/lib/python3/site-packages/numpy", 11: "docs/2024/05/Report/page-12/index", 12: "-----------BEGIN-2024", 13: "//cdn/STATIC/v2/img_0012/large"}
+    rows = [(i, f"see {t} end", f"s{i}") for i, t in (own | paths).items()] + [(100 + k, f"copied {own[5][::-1]} here", f"s{k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: [secrets.KINDS[s.kind] + f":{s.start}:{s.end}" for s in r.found] for r in secrets.scan(docs).collect()}
+    assert {i: got[i] for i in own} == {i: [f"generic:4:{4 + len(t)}"] for i, t in own.items()}
+    assert not any(got[i] for i in got if i not in own)
+    text = {r.doc_id: r.new_text for r in secrets.masked(docs).collect()}
+    assert text == {i: "see [secret] end" for i in own}
