@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import materialize
+
 
 def target_counts(n: int, sizes: dict[str, float]) -> dict[str, int]:
     """Half-even rounding for all but the first split, which gets the rest."""
@@ -45,27 +49,58 @@ def folds(df: DataFrame, key: list[str], k: int, repeats: int = 1, seed: int = 0
     return out
 
 
+def dealt(sizes: list[tuple[int, int]], want: dict[str, int]) -> list[list[int]]:
+    """For (size, number of groups) from the largest size: how many groups of that size each split gets.
+
+    As if each group went to the split that is furthest below its share without passing
+    it, else to the one it passes least. Groups of a size are dealt in bulk up to a common
+    level of all splits, and only the few that remain one by one.
+    """
+    names, have, out = list(want), dict.fromkeys(want, 0), []
+    for n, count in sizes:
+        room = {s: max(0, want[s] - have[s]) // n for s in names}
+
+        def upto(level):
+            return {s: min(room[s], max(0, math.ceil((level * want[s] - have[s]) / n))) for s in names}  # noqa: B023
+
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(upto(level).values()) <= count else (low, level)
+        got = upto(low)
+        for s in names:
+            have[s] += got[s] * n
+        for _ in range(count - sum(got.values())):
+            best = min(names, key=lambda s: (max(0, have[s] + n - want[s]) * 10_000 + have[s] / max(1, want[s]), names.index(s)))  # noqa: B023
+            got[best] += 1
+            have[best] += n
+        out.append([got[s] for s in names])
+    return out
+
+
 def group_split(df: DataFrame, group: str, sizes: dict[str, float]) -> DataFrame:
     """Adds `split`, whole groups at a time: by size from the largest, each to the split that is furthest below its share.
 
-    Group sizes are aggregated; the greedy choice runs over them on the driver, so the
-    number of groups is what must be bounded (MAX_GROUPS).
+    Only the counts of groups by size come to the driver (sizes, not groups); the groups of
+    a size take their split by rank, and the assignment is written and joined by shuffle.
     """
-    rows = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(group)).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    total = sum(r.n for r in rows)
-    want, have, chosen = target_counts(total, sizes), dict.fromkeys(sizes, 0), []
-    for r in rows:
-        best = min(sizes, key=lambda s: (max(0, have[s] + r.n - want[s]) * 10_000 + have[s] / max(1, want[s]), list(sizes).index(s)))
-        have[best] += r.n
-        chosen.append((r[0], best))
-    spark = df.sparkSession
-    schema = f"_g {df.schema[group].dataType.simpleString()}, split string"
-    return df.join(F.broadcast(spark.createDataFrame(chosen, schema)), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-
-
-MAX_GROUPS = 100_000
+    from tessera.operators.frame import with_row_id
+
+    groups = materialize(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_c")), "groups")
+    rows = groups.groupBy("_c").agg(F.count("*").alias("k")).orderBy(F.desc("_c")).collect()
+    shares = dealt([(r[0], r[1]) for r in rows], target_counts(sum(r[0] * r[1] for r in rows), sizes))
+    cuts, at = [], 0
+    for r, share in zip(rows, shares, strict=True):
+        cuts.append((r[0], [at + sum(share[: k + 1]) for k in range(len(share))]))
+        at += r[1]
+    cuts = df.sparkSession.createDataFrame(cuts, "_s long, _cuts array<long>")
+    ranked = with_row_id(groups.withColumn("_o", -F.col("_c")), ["_o", "_g"], "_n").join(F.broadcast(cuts), F.col("_c") == F.col("_s"))
+    split = None
+    for k, name in enumerate(sizes):
+        below = F.col("_n") < F.col("_cuts")[k]
+        split = F.when(below, name) if split is None else split.when(below, name)
+    chosen = materialize(ranked.select("_g", split.alias("split")), "chosen")
+    return df.join(chosen, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def check_split(df: DataFrame, key: list[str], split: str) -> DataFrame:

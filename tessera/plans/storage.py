@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -15,3 +15,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = set_.get() if set_.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """df written to a shared folder and read again."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

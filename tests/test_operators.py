@@ -112,6 +112,23 @@ def test_splits(spark):
     assert splits.check_split(groups, ["g"], "split").first().shared_keys == 0
 
 
+def test_group_split_of_many_groups(spark):
+    df = spark.range(120_000).withColumn("g", F.when(F.col("id") >= 110_000, F.col("id") % 9).when(F.col("id") < 3, None).otherwise(F.col("id")))
+    out = splits.group_split(df, "g", {"train": 0.7, "test": 0.2, "rest": 0.1})
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 84_000, "test": 24_000, "rest": 12_000}
+    assert splits.check_split(out, ["g"], "split").first().shared_keys == 0
+
+
+def test_groups_dealt_in_bulk_as_one_by_one():
+    sizes, want, have = [(50, 7), (9, 31), (4, 260), (1, 500)], {"a": 1575, "b": 300, "c": 294}, {"a": 0, "b": 0, "c": 0}
+    for (n, count), got in zip(sizes, splits.dealt(sizes, want), strict=True):
+        assert sum(got) == count
+        before = dict(have)
+        for _ in range(count):
+            have[min(want, key=lambda s: max(0, have[s] + n - want[s]) * 10_000 + have[s] / want[s])] += n  # noqa: B023
+        assert got == [(have[s] - before[s]) // n for s in want]
+
+
 def test_search_and_keywords(spark):
     df = spark.createDataFrame([(1, "CDK2", "kinase"), (2, "cdk-2 inhibitor", "x"), (3, "other", "about CDK 2"), (4, "none", "none")], "id long, title string, body string")
     assert [r.id for r in search.keyword_rows(df, "title", ["CDK2"]).collect()] == [1, 2]
