@@ -300,9 +300,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     """(doc_id, component_id) by similarity of word shingles rather than by a few bits.
 
     At a similarity of 0.8 single 64-bit fingerprints differ in about ten bits, beyond
-    any search by a few; so `words` fingerprints are laid side by side, a tree is grown
-    for each band of `width` bits with search radius zero, and within a shard those
-    within radius_for(similarity) bits of all are candidates. Only candidates whose sets
+    any search by a few; so `words` fingerprints are laid side by side and banded: a shard
+    holds those equal in a band of `width` bits, and within it all are compared. There are
+    no vantage rings or trees, as the radius is too wide for the triangle bound to prune.
+    Those within radius_for(similarity) bits are candidates. Only candidates whose sets
     of shingles have a Jaccard similarity of `similarity` at least, counted on the sets
     themselves (64-bit hashes), are linked. They are counted in two rounds: first each
     set with one candidate a shard, by a few orders; then, for those that have candidates
