@@ -10,6 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The separators of a word, as code points: space and \t \n \v \f \r.
 SEPARATORS = " \t\n\x0b\f\r"
@@ -26,13 +28,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where nothing names one (local tests) is a local folder made and set.
+    Only where nothing names one and the master is local (tests) is a local folder made
+    and set; on a cluster it would hold a part of the rows on each machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -55,6 +60,32 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keyed(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a column `key` that is unique and in the order of the ids.
+
+    It is the id itself where ids are unique and none is null: only ids are counted for
+    that. Otherwise every row is numbered in the order of id, hash of the text and
+    place, by range partitions; null ids come first. The numbered rows are written, so
+    that each keeps its number.
+    """
+    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
+    seen = docs.groupBy(id_col).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull())
+    if seen.isEmpty():
+        return docs.withColumn(key, F.col(id_col))
+    order = ["_id", "_text", "_place"]
+    marked = docs.withColumns({"_id": F.col(id_col), "_text": F.xxhash64(text_col), "_place": F.monotonically_increasing_id()})
+    sorted_ = marked.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+    placed = materialize(sorted_.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "keyed")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = placed.groupBy(F.col("_pid").alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(sizes), F.col("_pid") == F.col("_p")).withColumn(key, F.col("_base") + F.col("_at")).drop("_pid", "_p", "_at", "_base")
+
+
+def few(ids: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written frame of ids, to be broadcast only if it has `most` rows at most."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small
+from .common import few, forget, materialize, mix64, small
 from .graph import connected_components
 
 BITS = 64
@@ -28,6 +28,10 @@ BANDS = 4
 RING = 8
 #: A shard of this size or less is compared outright; a larger one is split by a vantage point.
 LEAF = 1024
+#: Shards of this size or less are searched together.
+SMALL = 64
+#: Words of a wide fingerprint that a shard compares: 128 bits part unrelated texts, and the sets themselves decide.
+FILTER = 2
 
 
 def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -229,38 +233,133 @@ def radius_for(similarity: float, bits: int) -> int:
     return int(np.ceil(bits * p + 3 * np.sqrt(bits * p * (1 - p))))
 
 
-def _candidates(fp: np.ndarray, radius: int, similarity: float):
-    """Index pairs (i < j) within radius whose set sizes allow the similarity, in blocks."""
-    size = fp["n"].astype(np.float64)
-    for s in range(0, len(fp), LEAF):
-        for t in range(s, len(fp), LEAF):
-            i, j = _near(fp[s : s + LEAF], fp[t : t + LEAF], radius)
-            keep = i < j if s == t else slice(None)
-            i, j = i[keep] + s, j[keep] + t
-            fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
-            yield i[fits], j[fits]
+def tables_for(similarity: float, n: int, recall: float = 0.99, load: int = 8) -> tuple[int, int]:
+    """(bits of a table's key, number of tables) for n sets.
+
+    A key has as many bits as leave `load` unrelated sets to a shard, 14 at least; there
+    are as many tables as make it likely by `recall` that two sets of that similarity
+    agree in one. Keys grow with the logarithm of n and tables with a power of about a
+    quarter, so the work grows by far slower than the pairs.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    width = max(14, int(np.ceil(np.log2(max(n, 1) / load))))
+    return width, int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - p) ** width))))
+
+
+def _fits(fp: np.ndarray, i, j, radius: int, similarity: float) -> np.ndarray:
+    """Whether the members j are candidates of i: within radius, and of sizes that allow the similarity."""
+    n, m = fp["n"][i].astype(np.float64), fp["n"][j].astype(np.float64)
+    return (_distance(fp[j], fp[i]) <= radius) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+
+
+def _pairs_of_small(shard: np.ndarray, fp: np.ndarray, radius: int, similarity: float):
+    """Candidate pairs (i < j) within each run of equal shards, for many short runs at once."""
+    for step in range(1, SMALL):
+        i = np.flatnonzero(shard[step:] == shard[:-step])
+        if not len(i):
+            return
+        i = i[_fits(fp, i, i + step, radius, similarity)]
+        yield i, i + step
+
+
+def _first_of_small(shard: np.ndarray, name: np.ndarray, fp: np.ndarray, radius: int, similarity: float, orders: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each member with candidates in its run, the pair with the one that is first in the table's order."""
+    found = list(_pairs_of_small(shard, fp, radius, similarity))
+    i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    i, j = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.lexsort((mix64(name[j].view(np.uint64) + ((shard[j] >> width) % orders).astype(np.uint64)), i))
+    i, j = i[order], j[order]
+    first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+    return name[i[first]], name[j[first]]
 
 
 def _stars(shard: int, name: np.ndarray, fp: np.ndarray, radius: int, similarity: float, orders: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each member with a candidate in the shard, the pair with the one that is first in the band's order: as many pairs as members at most."""
-    order = np.argsort(mix64(name.view(np.uint64) + np.uint64((shard >> width) % orders)))
-    place = np.empty(len(name), np.int64)
-    place[order] = np.arange(len(name))
-    best = np.full(len(name), len(name), np.int64)
-    for i, j in _candidates(fp, radius, similarity):
-        np.minimum.at(best, i, place[j])
-        np.minimum.at(best, j, place[i])
-    has = np.flatnonzero(best < len(name))
-    return name[has], name[order[best[has]]]
+    """Pairs of members with leaders that are their candidates: as many as members at most.
+
+    Members become leaders in the table's order, and each that is a candidate of a leader
+    needs no other: a group of copies costs its size, not the pairs in it. A leader
+    without followers is looked up among those of the leaders before it.
+    """
+    left = np.argsort(mix64(name.view(np.uint64) + np.uint64((shard >> width) % orders)))
+    a, b, alone = [], [], []
+    while len(left):
+        lead, left = left[0], left[1:]
+        near = _fits(fp, lead, left, radius, similarity)
+        if near.any():
+            a.append(left[near])
+            b.append(np.full(int(near.sum()), lead))
+        else:
+            alone.append(lead)
+        left = left[~near]
+    followers = np.concatenate(a) if a else np.zeros(0, np.int64)
+    for lead in alone if len(followers) else ():
+        near = followers[_fits(fp, lead, followers, radius, similarity)][:1]
+        a.append(np.full(len(near), lead))
+        b.append(near)
+    i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+    return name[i], name[j]
 
 
 def _across(shard: int, name: np.ndarray, fp: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, name) of every member that has a candidate of another label in the shard: members, never pairs."""
+    """(shard, name) of every member that has a candidate of another label in the shard: members, never pairs.
+
+    Members of the commonest label meet the others alone, so that a large group that is
+    linked already costs its size times the few that are not.
+    """
+    labels, at, count = np.unique(fp["label"], return_inverse=True, return_counts=True)
     has = np.zeros(len(name), bool)
-    for i, j in _candidates(fp, radius, similarity):
+    for x in np.flatnonzero(at != count.argmax()):
+        near = np.flatnonzero(at != at[x])
+        near = near[_fits(fp, x, near, radius, similarity)]
+        has[near] = True
+        has[x] |= len(near) > 0
+    return np.full(has.sum(), shard), name[has]
+
+
+def _across_small(shard: np.ndarray, name: np.ndarray, fp: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many short runs of equal shards at once."""
+    has = np.zeros(len(name), bool)
+    for i, j in _pairs_of_small(shard, fp, radius, similarity):
         differ = fp["label"][i] != fp["label"][j]
         has[i[differ]] = has[j[differ]] = True
-    return np.full(has.sum(), shard), name[has]
+    return shard[has], name[has]
+
+
+def _within_many(read, small_find, large_find):
+    """Links within each run of equal shards, of rows sorted by shard: short runs together, long ones one by one."""
+
+    def find(shard, name, fp):
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+        size = np.repeat(np.diff(edge), np.diff(edge))
+        short = size <= SMALL
+        if short.any():
+            yield small_find(shard[short], name[short], fp[short])
+        for s, t in zip(edge[:-1], edge[1:], strict=True):
+            if t - s > SMALL:
+                yield large_find(int(shard[s]), name[s:t], fp[s:t])
+
+    def emit(shard, name, fp):
+        found = [x for x in find(shard, name, fp) if len(x[0])]
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, fp = read(batch)
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), name, fp))
+            if held[0][0][0] == held[-1][0][-1]:  # one shard so far
+                continue
+            shard, name, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(shard, shard[-1]))
+            yield emit(shard[:last], name[:last], fp[:last])
+            held = [(shard[last:], name[last:], fp[last:])]
+        if held:
+            yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
 
 
 def _similar(x: bytes, y: bytes, similarity: float) -> bool:
@@ -273,9 +372,10 @@ def _similar(x: bytes, y: bytes, similarity: float) -> bool:
 def _joined(name: np.ndarray, fp: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of that similarity that join the labels of a shard: every candidate pair is counted on its sets unless links join its ends already."""
     label, found = np.unique(fp["label"], return_inverse=True)[1], []
-    for i, j in _candidates(fp, radius, similarity):
-        differ = label[i] != label[j]
-        for a, b in zip(i[differ].tolist(), j[differ].tolist(), strict=True):
+    common = np.bincount(label).argmax()
+    for a in np.flatnonzero(label != common).tolist():
+        others = np.flatnonzero(label != label[a])
+        for b in others[_fits(fp, a, others, radius, similarity)].tolist():
             if label[a] != label[b] and _similar(fp["set"][a], fp["set"][b], similarity):
                 found.append((a, b))
                 label[label == label[b]] = label[a]
@@ -296,30 +396,28 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return held.select("a", "b", "set0", "set1").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, width: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by similarity of word shingles rather than by a few bits.
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99) -> DataFrame:
+    """(id, component_id) by similarity of word shingles rather than by a few bits.
 
     At a similarity of 0.8 single 64-bit fingerprints differ in about ten bits, beyond
-    any search by a few; so `words` fingerprints are laid side by side and banded: a shard
-    holds those equal in a band of `width` bits, and within it all are compared. There are
-    no vantage rings or trees, as the radius is too wide for the triangle bound to prune.
-    Those within radius_for(similarity) bits are candidates. Only candidates whose sets
-    of shingles have a Jaccard similarity of `similarity` at least, counted on the sets
-    themselves (64-bit hashes), are linked. They are counted in two rounds: first each
-    set with one candidate a shard, by a few orders; then, for those that have candidates
-    beyond their component, in the shards themselves, where every candidate pair that no
-    links join yet is counted and only joining links are given. Pairs are never written.
-
-    No pair below the similarity is linked. A pair is found if one band agrees and the
-    distance is within the radius: of pairs at similarity 0.8, 0.85 and 0.9 about 98,
-    99.6 and 99.99 in 100 with 36 bands by the formula (equal texts always). A shard
-    holds one in 2**width fingerprints
-    beside the near-copies; for far larger corpora raise width, and words with it. component_id is the smallest doc_id reachable. Null and empty
-    texts are alike; rows with a null id have a null component.
+    any search by a few; so `words` fingerprints are laid side by side, and tables_for()
+    says how many tables sample how many of their bits: a shard holds those equal in a
+    table's bits. There are no vantage rings or trees over the corpus, as the radius is
+    too wide for the triangle bound to prune. Within a shard leaders take what lies within
+    radius_for(similarity) of them by FILTER of the fingerprints. Only candidates whose
+    sets of shingles have a Jaccard similarity of `similarity` at least, counted on the
+    sets themselves (64-bit hashes), are linked, in two rounds: first each member with its
+    leader; then, for those that have candidates beyond their component, in the shards
+    themselves, where every candidate pair that no links join yet is counted and only
+    joining links are given. Pairs are never written.
+
+    No pair below the similarity is linked. A pair at the similarity is found with a
+    likelihood of `recall`, a closer one of more, equal texts always. component_id is
+    the smallest id reachable. Null and empty texts are alike; rows with a null id have a
+    null component. Repeated ids share their rows' components if texts are equal.
     """
-    radius = radius_for(similarity, words * BITS)
-    powers = 1 << np.arange(width, dtype=np.int64)
-    shape = [(f"w{k}", "<u8") for k in range(words)] + [("n", "<u8")]
+    radius = radius_for(similarity, FILTER * BITS)
+    shape = [(f"w{k}", "<u8") for k in range(FILTER)] + [("n", "<u4")]
 
     def mark(batches):
         for batch in small(batches):
@@ -333,50 +431,63 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
             sets = [_shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_name(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "set"])
 
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marks = materialize(source.mapInArrow(mark, "doc_id long, node long, fp binary"), "wide")
+    nodes = materialize(marks.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    width, tables = tables_for(similarity, nodes.count(), recall)
+    powers = 1 << np.arange(width, dtype=np.int64)
+    rng = np.random.default_rng(words)
+    chosen = [rng.choice(words * BITS, width, replace=False) for _ in range(tables)]
+
     def place(batches):
-        for batch in batches:
+        for batch in small(batches, 4096):
             if not batch.num_rows:
                 continue
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             bits = np.unpackbits(raw[:, : words * 8], axis=1)
-            for band in range(bits.shape[1] // width):
-                key = (band << width) + bits[:, band * width : (band + 1) * width] @ powers
-                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["shard", *batch.schema.names])
+            own = np.ascontiguousarray(raw[:, : FILTER * 8]).view("<i8")
+            n = np.ascontiguousarray(raw[:, words * 8 :]).view("<i8")[:, 0]
+            columns = [batch.column(0), *(pa.array(own[:, k]) for k in range(FILTER)), pa.array(n.astype(np.int32)), *batch.columns[2:]]
+            names = ["shard", "node", *(f"w{k}" for k in range(FILTER)), "n", *batch.schema.names[2:]]
+            for table, at in enumerate(chosen):
+                key = (np.int64(table) << width) + bits[:, at] @ powers
+                yield pa.RecordBatch.from_arrays([pa.array(key), *columns], names=names)
+
+    placed = "shard long, node long, " + ", ".join(f"w{k} long" for k in range(FILTER)) + ", n int"
 
     def read(batch):
-        fields = shape + [("label", "<i8"), ("set", "O")][: batch.num_columns - 3]
-        out = np.empty(batch.num_rows, fields)
-        plain = np.frombuffer(b"".join(batch.column(2).to_pylist()), shape)
-        for k, _ in shape:
-            out[k] = plain[k]
-        if batch.num_columns > 3:
-            out["label"] = batch.column(3).to_numpy(zero_copy_only=False)
-        if batch.num_columns > 4:
-            out["set"] = batch.column(4).to_pylist()
+        rest = [("label", "<i8"), ("set", "O")][: batch.num_columns - len(shape) - 2]
+        out = np.empty(batch.num_rows, shape + rest)
+        for k, (name, _) in enumerate(shape):
+            x = batch.column(2 + k).to_numpy(zero_copy_only=False)
+            out[name] = x.view("<u8") if name != "n" else x
+        if rest:
+            out["label"] = batch.column(2 + len(shape)).to_numpy(zero_copy_only=False)
+        if len(rest) > 1:
+            out["set"] = batch.column(3 + len(shape)).to_pylist()
         return batch.column(1).to_numpy(zero_copy_only=False), out
 
-    def searched(placed: DataFrame, find) -> DataFrame:
-        return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_within_shards(read, find), "a long, b long")
+    def searched(rows: DataFrame, find) -> DataFrame:
+        return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(find, "a long, b long")
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = materialize(source.mapInArrow(mark, "doc_id long, node long, fp binary"), "wide")
-    nodes = materialize(marks.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    first = searched(nodes.select("node", "fp").mapInArrow(place, "shard long, node long, fp binary"), lambda s, name, fp: _stars(s, name, fp, radius, similarity, 4, width))
+    first = nodes.select("node", "fp").mapInArrow(place, placed)
+    first = searched(first, _within_many(read, lambda s, name, fp: _first_of_small(s, name, fp, radius, similarity, 4, width), lambda s, name, fp: _stars(s, name, fp, radius, similarity, 4, width)))
     first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     # every set with a candidate is in one of these pairs: the later round has no others
     some = first.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     active = materialize(nodes.join(some, F.col("node") == F.col("c"), "left_semi"), "active")
-    ids = active.select(F.col("first_id").alias("i"))
-    few = source.join(F.broadcast(ids) if ids.count() <= 1 << 20 else ids, F.col("doc_id") == F.col("i"), "left_semi")
-    sets = materialize(few.select("text").mapInArrow(hold, "node long, set binary"), "sets")
+    wanted = few(active.select(F.col("first_id").alias("i")))
+    sets = materialize(source.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").select("text").mapInArrow(hold, "node long, set binary").dropDuplicates(["node"]), "sets")
     alike = materialize(_alike(first, sets, similarity), "alike")
     parts = connected_components(alike)
     known = active.join(parts.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
     known = materialize(known, "known")
-    apart = searched(known.mapInArrow(place, "shard long, node long, fp binary, label long"), lambda s, name, fp: _across(s, name, fp, radius, similarity))
+    apart = known.mapInArrow(place, f"{placed}, label long")
+    apart = searched(apart, _within_many(read, lambda s, name, fp: _across_small(s, name, fp, radius, similarity), lambda s, name, fp: _across(s, name, fp, radius, similarity)))
     apart = materialize(apart.select(F.col("a").alias("shard"), F.col("b").alias("m")), "apart")
-    held = apart.join(known, F.col("m") == F.col("node")).select("shard", "m", "fp", "label").join(sets, F.col("m") == F.col("node"))
-    more = materialize(searched(held.select("shard", "node", "fp", "label", "set"), lambda _, name, fp: _joined(name, fp, radius, similarity)), "more")
+    flat = known.select(F.col("node").alias("k"), "label").join(materialize(known.select("node", "fp").mapInArrow(_filter_words(words), placed.removeprefix("shard long, ")), "filters"), F.col("k") == F.col("node"))
+    held = apart.join(flat, F.col("m") == F.col("node")).drop("node", "k").join(sets, F.col("m") == F.col("node"))
+    more = materialize(searched(held.select("shard", "node", *[name for name, _ in shape], "label", "set"), _within_shards(read, lambda _, name, fp: _joined(name, fp, radius, similarity))), "more")
     if not more.isEmpty():
         parts = connected_components(alike.unionByName(more))
     parts = materialize(parts.select(F.col("node").alias("p"), "component"), "parts")
@@ -385,7 +496,21 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     named = parts.join(roots, F.col("component") == F.col("c")).select("p", "root")
     named = nodes.join(named, F.col("node") == F.col("p"), "left").select(F.col("node").alias("f"), F.coalesce("root", "first_id").alias("component_id"))
     named = materialize(named, "classes")
-    return marks.join(named, F.col("node") == F.col("f"), "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    for old in (first, active, sets, alike, known, apart, more, parts):
+        forget(old)
+    return marks.join(named, F.col("node") == F.col("f"), "left").select(F.col("doc_id").alias(id_col), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _filter_words(words: int):
+    """(node, fp) -> the words of the fingerprint that shards filter by, and the size of the set."""
+
+    def run(batches):
+        for batch in small(batches, 4096):
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, words * 8 + 8), np.uint8)
+            own, n = np.ascontiguousarray(raw[:, : FILTER * 8]).view("<i8"), np.ascontiguousarray(raw[:, words * 8 :]).view("<i8")[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(own[:, k]) for k in range(FILTER)), pa.array(n.astype(np.int32))], names=["node", *(f"w{k}" for k in range(FILTER)), "n"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -120,3 +120,64 @@ def test_near_copies_link_by_exact_similarity(spark):
     assert 30 < sum(root[10 * g + 1] != 10 * g + 1 for g in range(120)) < 90
     assert not [i for i in texts if root[i] == i and got[i] != i]
     assert sum(got[i] == c for i, c in root.items()) >= len(texts) - 5
+
+
+def test_near_copies_recall_at_given_similarities(spark):
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for level, target in enumerate((0.80, 0.82, 0.85, 0.74)):
+        for g in range(200):
+            n = 200  # shingles; replacing the last words of both keeps a share of them
+            keep = round(2 * n * target / (1 + target))
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+            own = words[: keep + 4] + [f"e{rng.randrange(10**9)}" for _ in range(n - keep)]
+            both = set(zip(*(words[k:] for k in range(5)))), set(zip(*(own[k:] for k in range(5))))
+            a = 100_000 * level + 10 * g
+            rows += [(a, " ".join(words)), (a + 1, " ".join(own))]
+            want[a + 1] = (level, len(both[0] & both[1]) / len(both[0] | both[1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    for level in range(3):
+        own = [i for i, (x, j) in want.items() if x == level and j >= 0.8]
+        assert len(own) > 150 and sum(got[i] == i - 1 for i in own) >= 0.95 * len(own)
+    assert not [i for i, (_, j) in want.items() if j < 0.8 and got[i] != i]
+
+
+def test_work_on_unrelated_texts_grows_like_their_number():
+    """Pairs that shards compare, for random fingerprints: no faster than N log N."""
+    rng = np.random.default_rng(6)
+    cost = {}
+    for n in (1 << 18, 1 << 20, 1 << 22):
+        width, tables = simhash.tables_for(0.8, n)
+        shard = np.sort(rng.integers(0, 1 << width, n))
+        size = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [n]]))
+        cost[n] = float((size * (size - 1) // 2).sum()), tables
+    for n in (1 << 18, 1 << 20):
+        assert cost[4 * n][0] / cost[n][0] < 4.4  # a table's pairs
+        assert cost[4 * n][1] / cost[n][1] < 4**0.3  # tables
+    assert simhash.tables_for(0.8, 10)[0] == 14
+
+
+def test_large_shards_cost_members_not_pairs(monkeypatch):
+    rng = np.random.default_rng(7)
+    base, n = rng.integers(0, 2**63, 2, dtype=np.uint64), 3000
+    fp = np.zeros(n, [("w0", "<u8"), ("w1", "<u8"), ("n", "<u4"), ("label", "<i8")])
+    for k in range(2):
+        fp[f"w{k}"] = base[k] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    fp["w0"][:20] = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    fp["n"], fp["label"] = 100, np.arange(n)
+    name, seen = np.arange(n), []
+    plain = simhash._fits
+    monkeypatch.setattr(simhash, "_fits", lambda fp, i, j, *a: seen.append(np.size(j)) or plain(fp, i, j, *a))
+    a, b = simhash._stars(0, name, fp, 32, 0.8, 4, 14)
+    assert set(a.tolist()) | set(b.tolist()) >= set(range(20, n)) and len(a) <= n and sum(seen) < 60 * n
+    # short runs and long ones find the same members
+    few = slice(0, 60)
+    one = simhash._stars(0, name[few], fp[few], 32, 0.8, 4, 14)
+    other = simhash._first_of_small(np.zeros(60, np.int64), name[few], fp[few], 32, 0.8, 4, 14)
+    assert set(one[0]) | set(one[1]) == set(other[0]) | set(other[1])
+    fp["label"] = np.where(np.arange(n) < 30, np.arange(n), 99)
+    x, y = simhash._across(5, name[:64], fp[:64], 32, 0.8), simhash._across_small(np.full(64, 5), name[:64], fp[:64], 32, 0.8)
+    assert sorted(x[1]) == sorted(y[1]) and len(x[1]) > 10
