@@ -32,5 +32,22 @@ def test_ties_blocks_and_unusual_vectors(spark, monkeypatch):
     assert topk.top_k(v, v.limit(0), 5).count() == 0
     few = v.where("vec_id in (0, 1, 2)")
     assert topk.top_k(few, few.where("vec_id = 0"), 5).count() == 2
-    twice = few.union(few)
-    assert topk.top_k(twice, twice.where("vec_id = 0"), 5).count() == 2
+
+
+def test_repeats_and_large_components_against_sql_and_integers(spark, tmp_path, monkeypatch):
+    rows = [(i, [float((i * 7 + k) % 11) for k in range(4)]) for i in (0, 1, 2, 3, 3, 50, 50, 51)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.op4_top_k(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(topk.OP4_SQL).fetchall())
+    large = [(0, [1e18, 1.0, -3.0, 0.0]), (1, [1.0, 2.0, 3.0, 4.0]), (2, [3e6, 5e6, 1.0, 0.0]), (3, [-1e18, 0.0, 0.0, 0.0]), (4, [1.0, 2.0, 3.0, 5.0]), (5, [3e38, 0.0, 0.0, 1.0]), (50, [4e6, 6e6, 0.0, 1.0])]
+    df = topk.quantized(spark.createDataFrame(large, "vec_id long, embedding array<float>"))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 4).collect())
+    v = {i: [int(np.floor(256 * float(np.float32(x)))) for x in e] for i, e in large}
+    end = lambda x: min(2**63 - 1, max(-(2**63), x))
+    want = []
+    for i in (0, 50):
+        best = sorted((-end(sum(a * b for a, b in zip(v[i], v[j]))), j) for j in v if j != i)[:4]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == want
