@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, slices, small
+from .common import few, forget, keyed, materialize, mix64, partitions, slices, small
 from .wordhash import Words, get_varints, put_varints, rest
 
 #: Bytes of text that are hashed together.
 BATCH = 1 << 20
-#: Documents with repeats are looked up by a broadcast of their ids up to this many, by a shuffle beyond.
-BROADCAST_IDS = 1 << 20
+#: Bytes of text for each bucket of hashes and each shard of documents: these grow in number, not in size.
+BUCKET = 4 << 20
 
 _OUT = "kind int, key long, a binary, b binary"
 
@@ -270,9 +270,10 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     block, spark = window // 2, docs.sparkSession
-    n_shards = max(64, partitions(spark))
-    n_buckets = 2 * n_shards
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n_shards = max(64, partitions(spark), size // (2 * BUCKET))
+    n_buckets = 2 * n_shards
 
     def meet(t: pa.Table) -> pa.Table:
         if t.column("kind")[0].as_py() == 1:
@@ -287,9 +288,9 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     probes = docs.mapInArrow(_probe(block, n_buckets), _OUT)
     met = probes.groupBy("kind", "key").applyInArrow(meet, "batch long, table binary, places binary")
     hits = materialize(met.groupBy("batch").applyInArrow(_bring_home, "doc_id long, places binary"), "anchors")
-    found = hits.select("doc_id")
-    some = docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, "doc_id", "left_semi")
+    some = docs.join(few(hits.select("doc_id")), "doc_id", "left_semi")
     some = materialize(some.join(hits, "doc_id"), "anchored")
+    forget(hits)
     entries = some.select("doc_id", "text", "places").mapInArrow(_extend(block, n_buckets, n_shards), _OUT)
     later = entries.groupBy("kind", "key").applyInArrow(first_stays, "shard long, places binary")
     later = materialize(later.groupBy("shard").applyInArrow(_by_document, "doc_id long, places binary"), "repeats")
@@ -322,27 +323,30 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for the documents that lose words; kept holds the other words, one space apart.
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_words, n_removed, kept) for the documents that lose words; kept holds the other words, one space apart.
 
-    Documents not returned keep their text as it is. doc_id must be unique; rows
-    without one take no part. Null and empty texts have no words.
+    Documents not returned keep their text as it is. Ids must be unique (common.keyed
+    makes them so); rows without one take no part. Null and empty texts have no words.
     """
-    return repeats(docs, window).select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
+    return repeats(rows, window).select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("doc_id", id_col)
 
 
 def _digests(batches):
-    for ids, data, _ in _texts(batches):
+    for ids, data, rows in _texts(batches):
         words = Words(data)
         sha = [hashlib.sha256(_kept(words, t)[1]).hexdigest() for t in range(len(ids))]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words.n, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "sha"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), rows.column(2), pa.array(words.n, pa.int64()), pa.array(sha)], names=["row_key", "doc_id", "n_words", "sha"])
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:
-    """Rows without a doc_id have no place in the order of documents and are left out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id is not null")
-    cut = materialize(remove_repeats(docs, 20).select("doc_id", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("cut_sha")), "cut")
-    whole = docs.mapInArrow(_digests, "doc_id long, n_words long, sha string")
-    return whole.join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
-
-
+    """One row for each row of documents. Rows of a repeated doc_id are documents of their own, in the order of a
+    hash of their texts; rows without a doc_id have no place in the order of documents and are left out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = keyed(docs, "row_key")
+    cut = remove_repeats(docs, 20, "row_key").select(F.col("row_key").alias("k"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("cut_sha"))
+    cut = materialize(cut, "cut")
+    whole = docs.select("row_key", "text", "doc_id").mapInArrow(_digests, "row_key long, doc_id long, n_words long, sha string")
+    out = whole.join(cut, F.col("row_key") == F.col("k"), "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))

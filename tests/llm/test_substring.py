@@ -73,3 +73,11 @@ def test_varints_and_words():
     w = Words([b"a b  c", b"", b"\x0bd\r\n", "é à".encode()])
     assert w.n.tolist() == [3, 0, 1, 2] and len(set(w.hashes().tolist())) == 6
     assert Words([]).n.tolist() == []
+
+
+def test_repeated_ids_have_a_row_each(spark, tmp_path):
+    a, b, c = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(40)), " ".join(f"c{i}" for i in range(25))
+    rows = [(1, a), (1, a), (1, f"{b} x"), (2, f"{b} y"), (3, c), (3, c), (3, c), (None, c), (4, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.op5_substring(spark, str(tmp_path)).collect())
+    assert got == sorted([(1, 30, 0), (1, 30, 30), (1, 41, 0), (2, 41, 40), (3, 25, 0), (3, 25, 25), (3, 25, 25), (4, 0, 0), (4, 0, 0)])
