@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import few, materialize
 
 #: (kind, gate, pattern, group of the value, least characters of that group). Kinds in the order that ties take.
 BASE = (
@@ -25,8 +25,8 @@ GENERIC = ("generic", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}", r"(?<![A-Za-z0
 SEPARATED = "/[^/]*/[^/]*/|--"
 WORDS = "^[+/_-]*+(?:(?:[A-Z]?[a-z]*+[0-9]{0,4}+|[a-z]*+(?:[A-Z][a-z]++){0,4}+[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[0-9]++)(?:[+/_-]++|$))*+$"
 KINDS = (*[b[0] for b in BASE], GENERIC[0])
-#: A value held by more owners than this is an example that went round.
-FEW_OWNERS = 2
+#: A value held by more owners, or by more repositories, than this is an example that went round.
+FEW_OWNERS, FEW_REPOSITORIES = 2, 2
 
 
 def _matches(text: Column, number: int, gate: str, pattern: str, group: int) -> Column:
@@ -47,13 +47,14 @@ def _matches(text: Column, number: int, gate: str, pattern: str, group: int) ->
     return F.when(text.rlike(gate), found).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,len:int,value_len:int,value:string,mixed:boolean>>"))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), few_owners: int = FEW_OWNERS) -> tuple[DataFrame, DataFrame]:
+def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), few_owners: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of docs (doc_id, text, and the columns that name owner and repository).
 
     rows: one for each row of docs, with row_id, doc_id. spans: row_id, kind (its number
     in KINDS), start, end (code points, end exclusive), owners, repositories, live. A
-    value is live-looking if few_owners owners or fewer hold it anywhere in the corpus;
-    a null owner counts as one. Base kinds are always given; GENERIC ones only if they
+    value is live-looking if few_owners owners and few_repositories repositories or fewer
+    hold it anywhere in the corpus: one that a single owner has spread over many
+    repositories is an example too. A null owner counts as one. Base kinds are always given; GENERIC ones only if they
     are live, hold digits and letters, are no paths (WORDS), and touch no base span.
     Null texts are empty.
     """
@@ -80,7 +81,7 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str,
     each = materialize(each, "candidates")
     held = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("n"))
     held = held.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")).withColumnRenamed("value", "v")
-    spans = each.join(materialize(held, "owners"), F.col("value") == F.col("v")).withColumn("live", F.col("owners") <= few_owners)
+    spans = each.join(materialize(held, "owners"), F.col("value") == F.col("v")).withColumn("live", (F.col("owners") <= few_owners) & (F.col("repositories") <= few_repositories))
     spans = spans.where((F.col("kind") < len(BASE)) | F.col("live")).select("row_id", "kind", F.col("start").cast("long"), F.col("end").cast("long"), "owners", "repositories", "live")
     return scanned.select("row_id", "doc_id"), spans
 
@@ -111,15 +112,17 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def masked(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
-    """(doc_id, new_text) of the documents that hold live-looking values, each such span replaced by mask.
+def masked(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, new_text) of the documents that hold live-looking values, each such span replaced by mask.
 
-    Overlapping spans become one mask. doc_id must be unique; rows without one are left out.
+    Overlapping spans become one mask. Ids must be unique (common.keyed makes them so);
+    rows without one are left out.
     """
+    docs = docs.drop("doc_id") if id_col != "doc_id" else docs
+    docs = docs.withColumnRenamed(id_col, "doc_id")
     found = scan(docs, **options).select(F.col("doc_id").alias("i"), F.filter("found", lambda s: s["live"]).alias("found"))
     found = materialize(found.where((F.size("found") > 0) & F.col("i").isNotNull()), "live")
-    ids = found.select("i")
-    few = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= 1 << 20 else ids, F.col("doc_id") == F.col("i"), "left_semi").join(found, F.col("doc_id") == F.col("i"))
+    some = docs.select("doc_id", "text").join(few(found.select("i")), F.col("doc_id") == F.col("i"), "left_semi").join(found, F.col("doc_id") == F.col("i"))
     text = F.col("text").cast("string")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -128,4 +131,4 @@ def masked(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
         return F.struct(F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     done = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    return few.select("doc_id", done.alias("new_text"))
+    return some.select(F.col("doc_id").alias(id_col), done.alias("new_text"))

@@ -71,3 +71,44 @@ def test_long_keys_and_keys_with_slashes(spark):
     assert not any(got[i] for i in got if i not in own)
     text = {r.doc_id: r.new_text for r in secrets.masked(docs).collect()}
     assert text == {i: "see [secret] end" for i in own}
+
+
+def generic(text, held):
+    """Spans of GENERIC values by plain rules; held: value -> (owners, repositories)."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", text or ""):
+        v = m[0]
+        parts = [p for p in re.split("[+/_-]+", v) if p]
+        plain = all(re.fullmatch("[A-Z]?[a-z]*[0-9]{0,4}|[a-z]*([A-Z][a-z]+){0,4}[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+", p) for p in parts)
+        path = (v.count("/") >= 3 or "--" in v) and plain
+        if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not path and not any(s < m.end() and e > m.start() for s, _, e in base(text)):
+            owners, repositories = held(v)
+            if owners <= secrets.FEW_OWNERS and repositories <= secrets.FEW_REPOSITORIES:
+                out.append(f"generic:{m.start()}:{m.end()}")
+    return out
+
+
+def test_added_spans_against_plain_rules(spark, tmp_path):
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    copied, own = "Zx9" + "Ab3" * 8, "Qy7" + "Cd5" * 8
+    rows += [(10_000 + i, f"see {copied} here", "hot", f"l{i}") for i in range(4)]  # one owner, four repositories
+    rows += [(10_100 + i, f"see {own} here", "hot", "l1") for i in range(4)]  # one of each
+    rows += [(10_200, "a/b1/c2/d3-" + "x" * 12, "s", "en"), (10_201, f"x {copied}/{own}", None, None), (10_202, None, "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    where = {}
+    for _, t, source, lang in rows:
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", t or ""):
+            where.setdefault(m[0], set()).add((source, lang))
+    held = lambda v: (len({s for s, _ in where[v]}), len(where[v]))
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("generic")] for r in secrets.op7_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: generic(t, held) for i, t, _, _ in rows}
+    assert not got[10_000] and got[10_100]
+
+
+def test_masked_keeps_rows_of_repeated_ids_apart(spark):
+    from tessera.llm.common import keyed
+
+    rows = [(1, "token=abcdefgh1", "s"), (1, "token=abcdefgh1", "s"), (1, "plain", "s"), (None, "token=zzzzzz9", "t")]
+    docs = keyed(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")), "row_key")
+    got = secrets.masked(docs, id_col="row_key").collect()
+    assert len(got) == 3 and len({r.row_key for r in got}) == 3 and {r.new_text for r in got} == {"[secret]"}
