@@ -5,8 +5,9 @@ registered domain and suffix. At each level a group's rate of bad pages has a Be
 prior centred on its parent's posterior mean without the group's own pages (else they
 would count twice), whose strength comes from how much the
 groups of that level differ (a moment estimate). A host is blocked when the lower
-posterior bound of its rate exceeds a limit: few labels never suffice. Every host of
-the pages is judged, those without labels by their domain, suffix or the whole.
+posterior bound of its rate, a quantile of the Beta distribution, exceeds a limit: few
+labels never suffice. Every host of the pages is judged, those without labels by their
+domain, suffix or the whole.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from .common import materialize
 
 #: (verdict, host, path) of the fixed rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Suffixes of two labels, under which the registered domain has three (fixed values).
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.in", "com.cn", "co.za", "com.mx", "co.kr")
+#: Second labels under which two-letter domains register names (fixed values): co.uk, com.tr or gov.br are suffixes.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org")
+LONG_SUFFIX = f"^(?:{'|'.join(REGISTRIES)})[.][a-z]{{2}}$"
 LIMIT, SURE = 0.5, 1.6448536269514722
 #: Bounds of the strength of a prior, in labelled pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -45,14 +47,27 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def domain_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host, by LONG_SUFFIXES; a port is left out. A single label is its own domain and suffix."""
-    name = F.regexp_replace(host, ":[0-9]*$", "")
+def domain_suffix(host: Column, long_suffix: str = LONG_SUFFIX) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host; a port and what stands before an @ are left out. A single label is its own domain and suffix.
+
+    long_suffix: an expression for the suffixes of two labels, such as an alternation of a public list.
+    """
+    name = F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", "")
     two = F.substring_index(name, ".", -2)
-    long_ = two.isin(*LONG_SUFFIXES)
+    long_ = two.rlike(long_suffix)
     return F.when(long_, F.substring_index(name, ".", -3)).otherwise(two), F.when(long_, two).otherwise(F.substring_index(name, ".", -1))
 
 
+def below(limit: float, alpha: Column, beta: Column) -> Column:
+    """The normal deviate of the probability that a Beta variable is at most limit (Abramowitz and Stegun 26.5.21).
+
+    The approximation is one expression at any size; with alpha + beta of one or more the
+    probability is right to about one in a hundred.
+    """
+    w, v = F.cbrt(beta * limit), F.cbrt(alpha * (1 - limit))
+    return 3 * (w * (1 - 1 / (9 * beta)) - v * (1 - 1 / (9 * alpha))) / F.sqrt(w * w / beta + v * v / alpha)
+
+
 def _strength(groups: DataFrame, n: str, bad: str, mean: str) -> float:
     """The prior strength under which the spread of the groups' rates about their means is as seen: sum over groups of
     n (rate - mean)^2 against what the binomial alone would give."""
@@ -66,14 +81,15 @@ def _strength(groups: DataFrame, n: str, bad: str, mean: str) -> float:
     return float(min(STRONGEST, max(WEAKEST, r.more / (r.seen - r.k) - 1)))
 
 
-def reputation(outcomes: DataFrame, limit: float = LIMIT, sure: float = SURE) -> DataFrame:
-    """outcomes: (host, n, bad) by host. Gives host, posterior alpha and beta, mean, lower bound, and blocked.
+def reputation(outcomes: DataFrame, limit: float = LIMIT, sure: float = SURE, long_suffix: str = LONG_SUFFIX) -> DataFrame:
+    """outcomes: (host, n, bad) by host. Gives host, posterior alpha and beta, mean, below, and blocked.
 
-    The bound is the mean less `sure` standard deviations of the Beta posterior.
-    A host without labels (n = 0) has its domain's posterior as prior and nothing of its own; a
+    below is the deviate of the probability that the host's rate is at most limit; the
+    host is blocked if it is under -sure, that is, if that quantile of the posterior
+    exceeds limit. A host without labels (n = 0) has its domain's posterior as prior and nothing of its own; a
     domain without labels its suffix's, and a suffix without labels that of the whole.
     """
-    domain, suffix = domain_suffix(F.col("host"))
+    domain, suffix = domain_suffix(F.col("host"), long_suffix)
     hosts = materialize(outcomes.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     add = lambda df, key: df.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = materialize(add(hosts, ("domain", "suffix")), "domains")
@@ -94,9 +110,8 @@ def reputation(outcomes: DataFrame, limit: float = LIMIT, sure: float = SURE) ->
     suffixes = materialize(level(suffixes.withColumn("prior", (bad - F.col("bad") + 0.5) / (n - F.col("n") + 1.0))), "suffix-posteriors")
     domains = materialize(level(under(domains, suffixes, "suffix")), "domain-posteriors")
     hosts = level(under(hosts, domains, "domain"))
-    total = F.col("alpha") + F.col("beta")
-    low = F.col("mean") - sure * F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)))
-    return hosts.select("host", "n", "bad", "alpha", "beta", "mean", low.alias("low"), (low > limit).alias("blocked"))
+    hosts = hosts.withColumn("below", below(limit, F.col("alpha"), F.col("beta")))
+    return hosts.select("host", "n", "bad", "alpha", "beta", "mean", "below", (F.col("below") < -sure).alias("blocked"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, **options) -> DataFrame:
@@ -105,6 +120,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, **options) -> Data
     outcomes: (page_id, bad 0 or 1) of labelled pages; a page labelled twice is bad if
     any label says so; nulls are no labels. A rule decides where one fits; elsewhere the
     host's reputation, which for a host without labels is that of its domain or suffix.
+    A repeated page_id is one row for each of its rows; its label counts for every one.
     """
     host, path = host_path(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -155,15 +171,14 @@ def _rule_sql(part: int) -> str:
     return re.sub("%([^%]*)%([^%]*)%", lambda m: f"'{m[part]}'", _RULE_SQL)
 
 
-_LONG = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
 OP3_SQL = f"""{_PARSED}, l AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING bad IS NOT NULL
 ), c AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM h JOIN l ON h.page_id = l.doc_id GROUP BY host
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM h LEFT JOIN l ON h.page_id = l.doc_id GROUP BY host
 ), s AS (
-  SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS part FROM c
+  SELECT *, string_split(regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', ''), '.') AS part FROM c
 ), d AS (
-  SELECT host, n, bad, array_to_string(part[-2:], '.') IN ({_LONG}) AS long_, array_to_string(part[-2:], '.') AS two, array_to_string(part[-3:], '.') AS three, part[-1] AS one FROM s
+  SELECT host, n, bad, regexp_matches(array_to_string(part[-2:], '.'), '{LONG_SUFFIX}') AS long_, array_to_string(part[-2:], '.') AS two, array_to_string(part[-3:], '.') AS three, part[-1] AS one FROM s
 ), hosts AS (
   SELECT host, n, bad, CASE WHEN long_ THEN three ELSE two END AS domain, CASE WHEN long_ THEN two ELSE one END AS suffix FROM d
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
@@ -174,6 +189,7 @@ g2 AS (SELECT domains.*, (p1.prior * p1.k + p1.bad - domains.bad) / (p1.k + p1.n
 {_level_sql("p2", "g2")},
 g3 AS (SELECT hosts.*, (p2.prior * p2.k + p2.bad - hosts.bad) / (p2.k + p2.n - hosts.n) AS prior FROM hosts JOIN p2 USING (domain)),
 {_level_sql("p3", "g3")},
-r AS (SELECT host, mean - {SURE} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) > {LIMIT} AS blocked FROM p3)
+w AS (SELECT host, alpha, beta, cbrt(beta * {LIMIT}) AS w, cbrt(alpha * (1 - {LIMIT})) AS v FROM p3),
+r AS (SELECT host, 3 * (w * (1 - 1 / (9 * beta)) - v * (1 - 1 / (9 * alpha))) / sqrt(w * w / beta + v * v / alpha) < -{SURE} AS blocked FROM w)
 SELECT page_id, host, path, {_rule_sql(2)} AS rule, coalesce({_rule_sql(1)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN r USING (host)"""
