@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import small, trim
+from .common import forget, materialize, small, trim
 from .gbt import Trees, fit, isotonic
 
 #: Insults and slurs against a person in the languages that we expect (fixed values).
@@ -35,8 +33,8 @@ DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7":
 
 #: Labelled rows that training takes at most, those whose hash of doc_id is least.
 MAX_TRAIN = 20_000
-#: Marks of either strength learned from the training rows beside LEXICON, at most.
-MAX_LEARNED = 200
+#: Folds of the cross-fits that calibrate.
+FOLDS = 3
 NEAR = 4
 
 FEATURES = (
@@ -123,78 +121,94 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on the rows of docs that labels (doc_id, toxic) marks 0 or 1; labels of other folds are to be left out before.
 
-    At most max_train rows come to the driver, the first by a hash of doc_id. A document
+    At most max_train labelled rows are learned from, the first by a hash of doc_id. A document
     labelled twice counts as toxic if any label says so; one that stands in docs twice
-    is learned once. The sample chooses the marking words and grows the trees; three
-    cross-fits give margins on rows left out, and those calibrate the scores. Without
-    any label every score is 0.
+    is learned once, by its least text. The sample chooses the marking words and grows
+    the trees. For the calibration that is done anew without each of FOLDS folds, marks
+    included, and gives margins on rows that nothing was learned from; equal texts share
+    a fold. Null and empty texts are learned like any other. Without any label every
+    score is 0.
     """
     labelled = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).withColumnRenamed("doc_id", "labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "y", "text")
     # words are counted and features made where the rows are: no text comes to the driver
-    sample = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int")
+    sample = materialize(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("fold", fold), "sample")
     marks = marking_words(sample)
-    got = _features(sample, marks, "doc_id", "y").select("y", "x", "doc_id").collect()
+    got = _features(sample, marks, "doc_id", "y", "fold").select("y", "x", "doc_id", "fold").collect()
     got.sort(key=lambda r: r.doc_id)
     if not got:
+        forget(sample)
         return Model(([], []), Trees(1, -50.0), (np.array([0.0]), np.array([0.0])))
-    x, y = np.array([r.x for r in got]), np.array([r.y for r in got], float)
-    margin, fold = np.zeros(len(y)), np.array([zlib.crc32(f"fold {r.doc_id}".encode()) % 3 for r in got])
-    for k in range(3):
-        if (fold == k).any():
-            margin[fold == k] = fit(x[fold != k], y[fold != k]).margin(x[fold == k]) if (fold != k).any() else 0.0
-    return Model(marks, fit(x, y), isotonic(margin, y))
+    y, at = np.array([r.y for r in got], float), np.array([r.fold for r in got])
+    margin = np.zeros(len(y))
+    for k in np.unique(at).tolist():
+        x = np.array([r.x[1 + k] for r in got])
+        margin[at == k] = fit(x[at != k], y[at != k]).margin(x[at == k]) if (at != k).any() else 0.0
+    forget(sample)
+    return Model(marks[0], fit(np.array([r.x[0] for r in got]), y), isotonic(margin, y))
 
 
 def _count_stems(batches):
     for b in small(batches, 1024):
-        inside, outside = Counter(), Counter()
-        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        counts = [(Counter(), Counter()) for _ in range(FOLDS)]
+        for y, fold, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             own = set()
             for w in set((text or "").split()):
                 if (m := _CORE.search(w)) and m[0].isalpha():
                     own.update(stems(m[0].lower()))
-            (inside if y else outside).update(own)
-        both = sorted(inside.keys() | outside.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(both, pa.string()), pa.array([inside[w] for w in both], pa.int64()), pa.array([outside[w] for w in both], pa.int64())], names=["w", "inside", "outside"]
-        )
+            counts[fold][0 if y else 1].update(own)
+        for fold, (inside, outside) in enumerate(counts):
+            both = sorted(inside.keys() | outside.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(both, pa.string()), pa.array([fold] * len(both), pa.int32()), pa.array([inside[w] for w in both], pa.int64()), pa.array([outside[w] for w in both], pa.int64())], names=["w", "fold", "inside", "outside"]
+            )
 
 
-def marking_words(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """(strong, weak) marks of label 1 among words and word beginnings of the sample (y, text), copies counted once.
+def marking_words(sample: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """(strong, weak) marks of label 1 among words and word beginnings of the sample (y, fold, text), copies counted once:
+    first by all rows, then without each fold.
 
     A strong mark is hardly ever elsewhere, a weak one several times likelier in label 1;
-    either stands in enough documents that chance would not put it there.
+    either stands in enough documents that chance would not put it there, so there are
+    as many as the labelled sample bears out.
     """
-    texts = sample.dropDuplicates(["y", "text"]).select("y", "text")
-    n = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    counts = texts.mapInArrow(_count_stems, "w string, inside long, outside long").groupBy("w").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    odds = F.log((F.col("inside") + 0.5) / (n1 + 1)) - F.log((F.col("outside") + 0.5) / (n0 + 1))
-    strong = F.col("outside") <= 0.05 * F.col("inside")
-    found = counts.where((F.col("inside") >= max(8.0, 0.01 * n1)) & (odds > 1.5) & (strong | (F.col("inside") >= 20))).withColumn("strong", strong)
-    rank = F.row_number().over(Window.partitionBy("strong").orderBy(F.desc("inside"), "w"))
-    kept = found.withColumn("rank", rank).where(F.col("rank") <= MAX_LEARNED).orderBy("strong", "rank").collect()
-    return [r.w for r in kept if r.strong], [r.w for r in kept if not r.strong]
-
-
-def _features(docs: DataFrame, marks: tuple[list[str], list[str]], *keep: str) -> DataFrame:
+    texts = sample.dropDuplicates(["y", "text"]).select("y", "fold", "text")
+    n = {(r.y, r.fold): r["count"] for r in texts.groupBy("y", "fold").count().collect()}
+    counts = texts.mapInArrow(_count_stems, "w string, fold int, inside long, outside long").groupBy("w").agg(
+        *[F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(-1, FOLDS) for c in ("inside", "outside")]
+    )
+    ways = []
+    for k in range(-1, FOLDS):
+        n1, n0 = (sum(c for (y, fold), c in n.items() if y == side and fold != k) for side in (1, 0))
+        inside, outside = F.col(f"inside{k}"), F.col(f"outside{k}")
+        odds = F.log((inside + 0.5) / (n1 + 1)) - F.log((outside + 0.5) / (n0 + 1))
+        strong = outside <= 0.05 * inside
+        ways.append(F.when((inside >= max(8.0, 0.01 * n1)) & (odds > 1.5) & (strong | (inside >= 20)), F.when(strong, "s").otherwise("w")).otherwise("-"))
+    found = counts.select("w", F.concat(*ways).alias("way")).where(F.translate("way", "-", "") != "").collect()
+    pick = lambda k, mark: sorted(r.w for r in found if r.way[k] == mark)
+    return [(pick(k, "s"), pick(k, "w")) for k in range(FOLDS + 1)]
+
+
+def _features(docs: DataFrame, marks: list[tuple[list[str], list[str]]], *keep: str) -> DataFrame:
+    """The columns to keep, and x: the features by each pair of mark lists."""
+
     def run(batches):
-        make = Featurizer(*marks)
+        makers = [Featurizer(*m) for m in marks]
         for b in small(batches):
-            x = [make(t) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
-        make.clear()
+            x = [[make(t) for make in makers] for t in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(x, pa.list_(pa.list_(pa.float64())))], names=[*keep, "x"])
+        for make in makers:
+            make.clear()
         trim()
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}, x array<double>")
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}, x array<array<double>>")
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of docs (doc_id, text)."""
+    """(doc_id, score) for every row of docs (doc_id, text), repeated rows and null ids included. Null, empty and wordless texts score as texts without any feature."""
 
     def run(batches):
         make = Featurizer(*model.marks)
@@ -208,10 +222,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id):
+    """Whether the crc32 of the id as text is divisible by five; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; null and empty texts have a score too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
     out = scores(docs, train(docs, labels))
@@ -219,7 +235,7 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def below(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below limit."""
+    """The rows of docs, with all their columns, whose text scores below limit; null and empty texts are scored like any other."""
 
     def run(batches):
         make = Featurizer(*model.marks)

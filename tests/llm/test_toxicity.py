@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,3 +64,51 @@ def test_features_see_obfuscation_and_second_person():
     make = toxicity.Featurizer(["zork", "blar*"], ["frob"])
     f = dict(zip(toxicity.FEATURES, make("You are an idiot and an 1d10t, zork! blarney frob SHAME"), strict=True))
     assert f["lexicon_words"] == 1 and f["strong_words"] == 2 and f["weak_words"] == 1 and f["near_second_person"] >= 1 and f["disguised_words"] == 1 and f["shouted_rate"] > 0
+
+
+def plain_features(text, strong, weak):
+    """The features of a text by their definitions, word by word."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    core = []
+    for w in words:
+        i = [k for k, c in enumerate(w) if re.match(r"[^\W_]", c)]
+        core.append(w[i[0] : i[-1] + 1] if i else "")
+    low = [c.lower() for c in core]
+    squeeze = lambda x: re.sub(r"(\w)\1\1", r"\1", x)
+    plain = lambda x: "".join(c for c in x.translate(toxicity.DISGUISE) if re.match(r"[^\W_]", c))
+    lexicon = [x in toxicity.LEXICON for x in low]
+    marked = lambda marks: [bool(x) and any(m == x or (x.isalpha() and m.endswith("*") and len(m) - 1 in toxicity.STEMS and len(x) > len(m) - 1 and x.startswith(m[:-1])) for m in marks) for x in low]
+    is_strong, is_weak, you = marked(strong), marked(weak), [x in toxicity.SECOND_PERSON for x in low]
+    disguised = [bool(x) and not l and (squeeze(x) in toxicity.LEXICON or plain(x) in toxicity.LEXICON) for x, l in zip(low, lexicon)]
+    near = sum((lexicon[i] or is_strong[i] or disguised[i]) and any(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i in range(len(words)))
+    n, kinds = len(words), lambda flags: len({w.lower() for w, f in zip(words, flags) if f})
+    marks = sum(33 <= ord(c) < 48 or 58 <= ord(c) < 65 or 91 <= ord(c) < 97 or 123 <= ord(c) < 127 for c in text)
+    return [
+        sum(lexicon), sum(lexicon) / n, kinds(lexicon), sum(is_strong), sum(is_strong) / n, kinds(is_strong), sum(is_weak), sum(is_weak) / n,
+        near, sum(you) / n, sum("A" <= c <= "Z" for c in text) / len(text), sum(len(c) > 2 and c.isupper() for c in core) / n, text.count("!") / n, text.count("?") / n,
+        marks / len(text), sum(disguised), sum("*" in w.strip("*") for w in words) / n, sum(bool(x) and squeeze(x) != x for x in low) / n, n,
+    ]
+
+
+def test_features_against_their_definitions(spark):
+    strong, weak = ["zork", "blar*", "idio*"], ["frob", "worke*"]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += [None, "", " \n", "You 1d10t!! BLARNEY sh*t stuuupid ___ f.u.c.k", "é" * 50, "you " * 9 + "idiot", "ZORK zork, *zork* frob workers"]
+    make = toxicity.Featurizer(strong, weak)
+    for t in texts:
+        assert np.allclose(make(t), plain_features(t, strong, weak)), t
+
+
+def test_marks_are_chosen_within_folds(spark):
+    rows = [(i, i % 2, i % 3, f"filler w{i} " + ("bad" * (i % 2)) + (" onlyone" if i % 2 and i % 3 == 0 else "")) for i in range(600)]
+    every, *without = toxicity.marking_words(spark.createDataFrame(rows, "doc_id long, y int, fold int, text string"))
+    assert "bad" in every[0] and all("bad" in m[0] for m in without)
+    assert "onlyone" in every[0] and "onlyone" not in without[0][0] and "onlyone" not in without[0][1] and "onlyone" in without[1][0]
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "you idiot " * 300_000), (2, "x" * 2_000_000), (3, "fine words here")], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int"))
+    assert toxicity.scores(docs, model).count() == 3
