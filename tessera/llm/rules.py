@@ -99,8 +99,8 @@ def _fires(rule: Rule, rows: list[dict]) -> list[dict]:
     return rows
 
 
-def _cuts(rows: list[dict], feature: str, most: int = 24) -> list[float]:
-    """Thresholds between quantiles of the values."""
+def _cuts(rows: list[dict], feature: str, most: int) -> list[float]:
+    """Thresholds between the values if there are few, else `most` quantiles of them."""
     values = sorted({r[feature] for r in rows})
     if len(values) <= most:
         return [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
@@ -108,8 +108,8 @@ def _cuts(rows: list[dict], feature: str, most: int = 24) -> list[float]:
     return sorted({every[len(every) * k // (most + 1)] for k in range(1, most + 1)})
 
 
-def _grow(rows: list[dict], longest: int = 4) -> Rule:
-    """Add the test of the greatest FOIL gain until the rule covers no clean document or nothing is gained."""
+def _grow(rows: list[dict], longest: int, cuts: int) -> Rule:
+    """Add the test of the greatest FOIL gain until the rule covers no clean document, nothing is gained, or it has `longest` tests."""
     rule: Rule = ()
     while len(rule) < longest:
         p0 = sum(r["low"] for r in rows)
@@ -117,7 +117,7 @@ def _grow(rows: list[dict], longest: int = 4) -> Rule:
             break
         base, best = math.log2(p0 / len(rows)), (1e-9, None)
         for feature in FEATURES:
-            for cut in _cuts(rows, feature):
+            for cut in _cuts(rows, feature, cuts):
                 for above in (True, False):
                     covered = [r["low"] for r in rows if (r[feature] > cut) == above]
                     p = sum(covered)
@@ -142,16 +142,20 @@ def _prune(rule: Rule, rows: list[dict]) -> Rule:
     return max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=())
 
 
-def learn(rows: list[dict], precision: float = 0.97, most: int = 12) -> list[Rule]:
+def learn(rows: list[dict], precision: float = 0.97, most: int = 12, longest: int = 4, cuts: int = 24) -> list[Rule]:
     """An ordered list of rules for low quality (rows: FEATURES, low 0 or 1, fold), by sequential covering.
 
+    The model has `most` rules at most, each of `longest` tests at most, whose thresholds
+    are among `cuts` quantiles of a feature: these bound what a reader has to understand,
+    and no row is left out of learning or judging for them.
+
     Folds 0 and 1 grow, fold 2 prunes. A rule stays if at least `precision` of what it
     covers among all remaining rows, and among the pruning ones if it covers any, is
     low; the first that fails ends the list. Without both classes the list is empty.
     """
     rules: list[Rule] = []
     while len(rules) < most and 0 < sum(r["low"] for r in rows) < len(rows):
-        rule = _prune(_grow([r for r in rows if r["fold"] < 2]), [r for r in rows if r["fold"] == 2])
+        rule = _prune(_grow([r for r in rows if r["fold"] < 2], longest, cuts), [r for r in rows if r["fold"] == 2])
         covered = _fires(rule, rows) if rule else []
         held = [r for r in covered if r["fold"] == 2]
         if len(covered) < 5 or any(sum(r["low"] for r in c) < precision * len(c) for c in (covered, held) if c):
@@ -173,14 +177,17 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Rule]:
-    """Rules from labels (doc_id, quality 0 or 1): at most max_train documents, one row each; a document labelled twice is low if any label says so."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **options) -> list[Rule]:
+    """Rules from labels (doc_id, quality 0 or 1): at most max_train labelled documents; options as learn() has them.
+
+    A document labelled twice is low if any label says so; one that stands in docs twice
+    is learned once, by its least text.
+    """
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).alias("low"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select(F.col("doc_id").alias("labelled"), "low")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).drop("labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id", "low").agg(F.min("text").alias("text"))
     rows = with_statistics(rows).select("doc_id", "low", *FEATURES, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3).alias("fold"))
-    found = {r.doc_id: r.asDict() for r in rows.collect()}
-    return learn([found[k] for k in sorted(found)])
+    return learn(sorted((r.asDict() for r in rows.collect()), key=lambda r: r["doc_id"]), **options)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -59,3 +59,31 @@ def test_learning_finds_ordered_conjunctions():
     fires = lambda r: any(all(t.holds(r) for t in rule) for rule in found)
     assert sum(fires(r) != bool(r["low"]) for r in rows) < 0.05 * len(rows)
     assert rules.learn([]) == [] and rules.learn([r for r in rows if r["low"]]) == []
+
+
+def test_repeated_ids_are_learned_alike_in_any_order(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["##"] * 60) if i % 2 else " ".join(f"w{rng.randrange(999)}" for _ in range(60))) for i in range(80)]
+    rows += [(i, "zz " * 70) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int")
+    first = rules.train(docs.repartition(1), labels)
+    assert first and first == rules.train(docs.orderBy("text").repartition(7), labels)
+    assert len(rules.train(docs, labels, most=1, longest=1, cuts=2)[0]) == 1
+
+
+def test_verdict_of_the_whole_query_by_hand(spark):
+    """kept against the learned rules applied row by row."""
+    from pyspark.sql import functions as F
+
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")
+    found = rules.train(docs, spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "quality"))
+    rows = rules.with_statistics(docs).withColumn("failed", rules.base_failed()).collect()
+    want = {r.doc_id: not r.failed and not any(all(t.holds(r.asDict()) for t in rule) for rule in found) for r in rows}
+    assert {r.doc_id: r.kept for r in rules.op8_quality_rules(spark, at).collect()} == want
+    for r in rows[:200]:
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text if r.doc_id < 3 else None
+        if text is not None:
+            w = re.findall("[^\\x20\\x09-\\x0D]+", text)
+            assert abs(r.mean_word - sum(map(len, w)) / len(w)) < 1e-9 and abs(r.distinct_rate - len(set(w)) / len(w)) < 1e-9
