@@ -7,7 +7,7 @@ Layout, below one folder:
 - data/kind=1: staged recipes, without order.
 - manifest: one row a document in ascending doc_id order, `start` ids after the first:
   `recipe` holds the hashes of its chunks and `sizes` their numbers of ids; `root` is
-  the Merkle root over the hashes.
+  the Merkle root over the hashes, and `width` the bytes of an id.
 
 A rolling hash over the last WINDOW ids cuts a document's stream, so that the same
 passage is cut alike wherever it stands. A chunk that many documents share is stored
@@ -139,7 +139,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
     totals = local.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    manifest = local.join(F.broadcast(totals), "pid").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "root", "recipe", "sizes")
+    width = F.lit(encoder(tokenizer).dtype.itemsize).alias("width")
+    manifest = local.join(F.broadcast(totals), "pid").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "root", "recipe", "sizes", width)
     manifest.write.option("compression", "zstd").parquet(f"{path}/manifest")
 
 
@@ -161,13 +162,21 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, recipe binary, sizes binary").parquet(f"{path}/manifest")
+    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, recipe binary, sizes binary, width int").parquet(f"{path}/manifest")
+
+
+def _width(manifest: DataFrame) -> int:
+    """The bytes of an id; an empty store has none."""
+    found = [r.width for r in manifest.select("width").distinct().collect()]
+    if len(found) > 1 or found not in ([], [2], [4]):
+        raise ValueError(f"the manifest does not verify: ids of {found} bytes")
+    return found[0] if found else 2
 
 
 def _references(batches):
     """One row for each chunk of each document, after the manifest's root is checked."""
     for b in batches:
-        doc, start, total, hashes, after = [], [], [], [], []
+        doc, start, total, hashes, after, own = [], [], [], [], [], []
         for d, s, n, root, recipe, sizes in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             parts = [recipe[i : i + HASH] for i in range(0, len(recipe), HASH)]
             size = np.frombuffer(sizes, "<i4").astype(np.int64)
@@ -178,20 +187,24 @@ def _references(batches):
             total += [n] * len(parts)
             hashes += parts
             after += (n - np.cumsum(size)).tolist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(hashes, pa.binary()), pa.array(after, pa.int64())], names=["doc_id", "start", "n_tokens", "ref", "after"]
-        )
+            own += size.tolist()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((doc, start, total, hashes, after, own), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ref", "after", "size"])
+
+
+_REFERENCES = "doc_id long, start long, n_tokens long, ref binary, after long, size long"
 
 
 def _check_chunks(width: int):
     def run(batches):
         for b in batches:
-            crc = []
+            crc, n = [], []
             for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if _digest(p) != h:
+                if _digest(p) != h or len(p) % width:
                     raise ValueError(f"chunk {h.hex()} does not verify")
                 crc.append(zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64())], names=["hash", "crc"])
+                n.append(len(p) // width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], names=["hash", "crc", "n_ids"])
 
     return run
 
@@ -232,29 +245,37 @@ def _shifted(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(shift(crc, 4 * after).astype(np.int64))], names=["doc_id", "start", "n_tokens", "part"])
 
 
-def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone.
 
-    Every chunk is read once, checked against its name and given its CRC; a document's
-    CRC is composed of its chunks', so that no payload is sent anywhere.
+    Every chunk is read once, checked against its name and given its CRC and number of
+    ids; each recipe's sizes must be those of its chunks, and a document's CRC is
+    composed of its chunks', so that no payload is sent anywhere. read_ids rebuilds the
+    ids themselves.
     """
-    chunks = materialize(read_chunks(spark, path).mapInArrow(_check_chunks(width), "hash binary, crc long"), "crcs")
-    refs = read_manifest(spark, path).mapInArrow(_references, "doc_id long, start long, n_tokens long, ref binary, after long")
-    # a reference whose chunk is missing leaves a null, and that breaks the job
-    found = refs.join(chunks, refs.ref == chunks.hash, "left").select("doc_id", "start", "n_tokens", "after", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing"))).alias("crc"))
+    manifest = read_manifest(spark, path)
+    chunks = materialize(read_chunks(spark, path).mapInArrow(_check_chunks(_width(manifest)), "hash binary, crc long, n_ids long"), "crcs")
+    refs = manifest.mapInArrow(_references, _REFERENCES)
+    # a chunk that is missing or of another size breaks the job
+    sound = F.when(F.col("n_ids") == F.col("size"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or of another size than its recipe says")))
+    found = refs.join(chunks, refs.ref == chunks.hash, "left").select("doc_id", "start", "n_tokens", "after", sound.alias("crc"))
     parts = found.mapInArrow(_shifted, "doc_id long, start long, n_tokens long, part long")
     return parts.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"))
 
 
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, ids): every document's ids, rebuilt from its recipe."""
-    refs = read_manifest(spark, path).mapInArrow(_references, "doc_id long, start long, n_tokens long, ref binary, after long")
-    joined = refs.join(read_chunks(spark, path), F.col("ref") == F.col("hash")).select("doc_id", "start", "after", "payload")
-    grouped = joined.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("k"), "payload"))).alias("parts"))
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, ids): every document's ids, rebuilt from its recipe and checked against its number."""
+    manifest = read_manifest(spark, path)
+    width = _width(manifest)
+    refs = manifest.mapInArrow(_references, _REFERENCES)
+    joined = refs.join(read_chunks(spark, path), F.col("ref") == F.col("hash")).select("doc_id", "start", "n_tokens", "after", "payload")
+    grouped = joined.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("k"), "payload"))).alias("parts"))
 
     def run(batches):
         for b in batches:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), f"<u{width}").astype(np.int64) for parts in b.column(2).to_pylist()]
+            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), f"<u{width}").astype(np.int64) for parts in b.column(3).to_pylist()]
+            if any(len(x) != n for x, n in zip(ids, b.column(2).to_pylist(), strict=True)):
+                raise ValueError("a document does not verify: its chunks hold another number of ids")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
     return grouped.mapInArrow(run, "doc_id long, start long, ids array<long>")
@@ -264,4 +285,4 @@ def op6_token_store(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = shared_dir(spark, "store")
     write_store(docs, default_tokenizer("byte_bpe_50k.json"), 2, path)
-    return read_digests(spark, path, 2).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

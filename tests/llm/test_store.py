@@ -46,7 +46,36 @@ def test_round_trip_edges_and_damage(spark):
     assert [r.doc_id for r in store.read_manifest(spark, path).orderBy("start").collect()] == sorted(dict(rows))
     bad = store.read_chunks(spark, path).withColumn("payload", F.concat("payload", F.lit(b"\0\0")))
     with pytest.raises(Exception, match="does not verify"):
-        bad.mapInArrow(store._check_chunks(2), "hash binary, crc long").collect()
+        bad.mapInArrow(store._check_chunks(2), "hash binary, crc long, n_ids long").collect()
+    # a manifest whose sizes are not those of its chunks, though their sum and the root are right
+    other = shared_dir(spark, "test")
+    store.read_chunks(spark, path).selectExpr("0 AS kind", "hash", "0L AS row", "CAST(NULL AS long) AS doc_id", "1L AS n_tokens", "payload", "CAST(NULL AS binary) AS sizes").write.partitionBy("kind").parquet(f"{other}/data")
+    swap = store.read_manifest(spark, path).withColumn("sizes", F.when(F.length("sizes") > 8, F.expr("concat(substr(sizes, 5, 4), substr(sizes, 1, 4), substr(sizes, 9))")).otherwise(F.col("sizes")))
+    swap.write.parquet(f"{other}/manifest")
+    with pytest.raises(Exception, match="another size"):
+        store.read_digests(spark, other).collect()
+
+
+def test_ids_of_four_bytes(spark, monkeypatch):
+    class Wide(Encoder):
+        """The same ids and 100 000 more each: beyond two bytes."""
+
+        def __init__(self, path):
+            super().__init__(path)
+            self.dtype = np.dtype("<u4")
+
+        def encode(self, text):
+            return (np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4") + 100_000).astype("<u4").tobytes()
+
+    monkeypatch.setattr(store, "encoder", Wide)
+    docs = spark.createDataFrame([(1, "ab cd " * 900), (2, "ab cd " * 900), (3, "")], "doc_id long, text string")
+    path = shared_dir(spark, "test")
+    store.write_store(docs, PATH, 2, path)
+    plain = Encoder(PATH).tokenizer
+    want = {i: [x + 100_000 for x in plain.encode(t, add_special_tokens=False).ids] + [2] for i, t in ((1, "ab cd " * 900), (2, "ab cd " * 900), (3, ""))}
+    assert {r.doc_id: list(r.ids) for r in store.read_ids(spark, path).collect()} == want
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in store.read_digests(spark, path).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
 
 
 def test_empty_and_repeated(spark):
