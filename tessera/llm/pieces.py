@@ -3,7 +3,8 @@
 The words of many texts are encoded together: distinct words of equal length advance
 one character at a time as one matrix. Hashes of all substrings that end there probe the
 sorted hashes of the pieces of each length, and a vectorised maximum over the candidate
-starts stores the back-pointers. A word is a run of meta spaces and the characters up to
+starts stores the back-pointers. Long words, such as texts without spaces, are matched at
+all their positions at once instead, and only the maxima are taken one by one. A word is a run of meta spaces and the characters up to
 the next; no piece reaches across, so that each word has its own best path.
 """
 
@@ -26,6 +27,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words that a worker remembers; then it starts anew.
 CACHE = 300_000
+#: Longer words are matched at all positions at once.
+LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -81,7 +84,14 @@ class Pieces:
         usable = [i for i, k in enumerate(self.kind) if k in (NORMAL, USER)]
         if any(SPACE in self.text[i].lstrip(SPACE) for i in usable):
             raise ValueError("pieces that reach across words are not supported")
-        self.unknown_score = min(self.score[i] for i in usable if self.kind[i] == NORMAL) - UNKNOWN_PENALTY
+        plain = [self.score[i] for i in usable if self.kind[i] == NORMAL]
+        self.unknown_score = min(plain) - UNKNOWN_PENALTY
+        for i in usable:  # pieces that the user defined have a bonus (the library's rule)
+            if self.kind[i] == USER:
+                self.score[i] = len(self.text[i]) * max(plain) - 0.1
+        silent = (CONTROL, UNUSED)
+        #: what each id decodes to
+        self.spelled = [b"" if k in silent else bytes([self.byte_of[i]]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else t.replace(SPACE, " ").encode() for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True))]
         self.tables = {}
         for n in sorted({len(self.text[i]) for i in usable}):
             ids = np.array([i for i in usable if len(self.text[i]) == n])
@@ -144,24 +154,72 @@ class Pieces:
         starts = np.stack([o[1] for o in out[::-1]], axis=1)
         for r in range(n):
             keep = stacked[r] >= 0
-            ids = stacked[r][keep]
-            if self.bytes and (ids == self.unknown).any():
-                spelled = []
-                for i, s in zip(ids.tolist(), starts[r][keep].tolist(), strict=True):
-                    spelled += [self.bytes[b] for b in words[r][s].encode("utf-8", "replace")] if i == self.unknown else [i]
-                ids = np.array(spelled)
-            elif (ids == self.unknown).any():  # unknown characters in a row are one
-                ids = ids[~((ids == self.unknown) & np.concatenate([[False], ids[:-1] == self.unknown]))]
-            found.append(ids.astype("<u4"))
+            found.append(self._spelled_out(words[r], stacked[r][keep], starts[r][keep]))
         return found
 
+    def _one(self, word: str) -> np.ndarray:
+        """Ids of one long word: every piece is looked up at all positions together, then the best path is taken along the hits."""
+        m = len(word)
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        known, found = np.zeros(m, bool), []
+        for size, (hashes, ids, scores, spelt) in self.tables.items():
+            if size > m:
+                continue
+            h = np.zeros(m - size + 1, np.uint64)
+            for k in range(size):
+                h = h * _BASE + codes[k : m - size + 1 + k] + np.uint64(1)
+            h = mix64(h)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            start = np.flatnonzero(hashes[at] == h)
+            for k in range(size):
+                start = start[spelt[at[start], k] == codes[start + k]]
+            found.append((start + size, start, scores[at[start]], ids[at[start]]))
+            if size == 1:
+                known[start] = True
+        lone = np.flatnonzero(~known)
+        found.append((lone + 1, lone, np.full(len(lone), self.unknown_score), np.full(len(lone), self.unknown)))
+        end, start, score, piece = (np.concatenate([f[k] for f in found]) for k in range(4))
+        order = np.lexsort((start, end))  # of equal sums the earliest start stays
+        edge = np.searchsorted(end[order], np.arange(m + 2)).tolist()
+        start, score, piece = start[order].tolist(), score[order].tolist(), piece[order].tolist()
+        best, back = [0.0] * (m + 1), [0] * (m + 1)
+        for e in range(1, m + 1):
+            top, at = -np.inf, -1
+            for k in range(edge[e], edge[e + 1]):
+                total = best[start[k]] + score[k]
+                if total > top:
+                    top, at = total, k
+            best[e], back[e] = top, at
+        path, e = [], m
+        while e > 0:
+            path.append(back[e])
+            e = start[back[e]]
+        path.reverse()
+        return self._spelled_out(word, np.array([piece[k] for k in path]), np.array([start[k] for k in path]))
+
+    def _spelled_out(self, word: str, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Unknown characters as their bytes, or a run of them as one unknown where the model has no bytes."""
+        lost = ids == self.unknown
+        if self.bytes and lost.any():
+            out = []
+            for i, s in zip(ids.tolist(), starts.tolist(), strict=True):
+                out += [self.bytes[b] for b in word[s].encode("utf-8", "replace")] if i == self.unknown else [i]
+            ids = np.array(out)
+        elif lost.any():
+            ids = ids[~(lost & np.concatenate([[False], lost[:-1]]))]
+        return ids.astype("<u4")
+
     def learn(self, words: set[str]) -> None:
         """Encode the words not yet known, by length; a length's words in parts of bounded size."""
         if len(self.words) > CACHE:
             self.words.clear()
         new: dict[int, list[str]] = {}
         for w in words:
-            if w not in self.words:
+            if w in self.words:
+                continue
+            if len(w) > LONG:
+                self.words[w] = self._one(w)
+            else:
                 new.setdefault(len(w), []).append(w)
         for m, group in new.items():
             step = max(1, (1 << 18) // m)
@@ -198,25 +256,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids: bytes join into characters, one leading space goes, control pieces are silent."""
-        out, held = [], bytearray()
-
-        def close():
-            if held:
-                out.append(bytes(held).decode("utf-8", "replace"))
-                held.clear()
-
-        for i in ids:
-            i = int(i)
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            close()
-            if self.kind[i] == UNKNOWN:
-                out.append(" ⁇ ")
-            elif self.kind[i] != CONTROL:
-                out.append(self.text[i])
-        close()
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -258,15 +298,24 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _digest(batches):
-    for b in batches:
-        ids = [np.array(x.values.to_numpy(zero_copy_only=False), "<u4") if x.is_valid else np.zeros(0, "<u4") for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], names=["doc_id", "n_tokens", "ids_crc32"]
-        )
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, restored) for every row of docs: the crc32 of the ids as little-endian unsigned 32-bit
+    integers, and whether decoding them gives the text back. Null and empty texts have no ids and are restored."""
+
+    def run(batches):
+        p = pieces(os.fspath(model))
+        for b in small(batches, 1024):
+            texts = b.column(1).to_pylist()
+            ids = p.encode_all(texts)
+            crc, restored = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], [p.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(restored, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "restored"])
+        p.words.clear()
+        trim()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, restored boolean")
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and the crc32 of the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, n_tokens, the crc32 of the ids, and whether they decode to the text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, default_tokenizer("piece_bpe_32k.model")).mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long")
+    return digests(docs, default_tokenizer("piece_bpe_32k.model"))

@@ -90,7 +90,9 @@ def test_round_trip_and_query(spark):
     coded = pieces.encode(docs, PATH)
     assert {r.doc_id: r.text for r in pieces.decode(coded, PATH).collect()} == want
     own = pieces.Pieces(PATH)
-    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in pieces.op10_sentencepiece(spark, at).collect()}
+    rows = pieces.op10_sentencepiece(spark, at).collect()
+    assert all(r.restored for r in rows)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows}
     assert got == {i: (len(x), zlib.crc32(x.astype("<u4").tobytes())) for (i, _), x in zip(want.items(), own.encode_all(list(want.values())), strict=True)}
 
 
@@ -105,3 +107,31 @@ def test_edges(spark):
         own = pieces.Pieces(PATH) if t == TEXTS[0] else own
         if "▁" not in t:
             assert own.decode(own.encode_all([t])[0]) == t
+
+
+def test_long_words_have_the_same_paths(monkeypatch):
+    import time
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("abcdehinorst", "日本語ab", "xy", "é▁a") for n in (65, 200, 700)]
+    own = pieces.Pieces(PATH)
+    for w in words:
+        assert own._one(w).tolist() == own._viterbi([w])[0].tolist()
+    for t, ids in zip(words, own.encode_all(words), strict=True):
+        if "▁" not in t:
+            assert own.decode(ids.tolist()) == t
+    began = time.time()
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    assert own.decode(own.encode_all([text])[0].tolist()) == text
+    assert time.time() - began < 60
+
+
+def test_pieces_that_the_user_defined(tmp_path):
+    own = b"".join(bytes([key]) + (bytes([len(x)]) + x if isinstance(x, bytes) else bytes([x])) for key, x in ((0x0A, "qzjé".encode()), (0x18, pieces.USER)))
+    raw = as_unigram()
+    with open(f"{tmp_path}/m.model", "wb") as f:
+        f.write(raw + bytes([0x0A, len(own)]) + own)
+    reference, p = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/m.model"), pieces.Pieces(f"{tmp_path}/m.model")
+    for t in ("aqzjéb qzjé", "qzjéqzjé", "the xqzjé"):
+        ours, theirs = p.encode_all([t])[0].tolist(), reference.encode(t)
+        assert ours.count(len(p.text) - 1) == theirs.count(len(p.text) - 1) >= 1
