@@ -118,8 +118,8 @@ def masked(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", **op
     Overlapping spans become one mask. Ids must be unique (common.keyed makes them so);
     rows without one are left out.
     """
-    docs = docs.drop("doc_id") if id_col != "doc_id" else docs
-    docs = docs.withColumnRenamed(id_col, "doc_id")
+    owner, repository = options.get("owner", "source"), options.get("repository", ("source", "lang"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), "text", *dict.fromkeys((owner, *repository)))
     found = scan(docs, **options).select(F.col("doc_id").alias("i"), F.filter("found", lambda s: s["live"]).alias("found"))
     found = materialize(found.where((F.size("found") > 0) & F.col("i").isNotNull()), "live")
     some = docs.select("doc_id", "text").join(few(found.select("i")), F.col("doc_id") == F.col("i"), "left_semi").join(found, F.col("doc_id") == F.col("i"))

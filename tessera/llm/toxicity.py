@@ -237,12 +237,15 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 def below(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores below limit; null and empty texts are scored like any other."""
 
+    text = docs.columns.index("text")
+
     def run(batches):
         make = Featurizer(*model.marks)
         for b in small(batches):
-            x = np.array([make(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([make(t) for t in b.column(text).to_pylist()], float).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) < limit))
         make.clear()
         trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

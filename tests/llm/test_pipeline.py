@@ -38,3 +38,35 @@ def test_empty(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_null_ids_and_clashing_names(spark, tmp_path):
+    """Every stage on rows of repeated and null ids, with columns of the names that joins use."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, passage, secret = say(60), say(70), say(40), "token=Zx81kQp0Lm"
+    rows = [(1, a), (1, a), (1, b), (2, a), (2, f"{passage} {say(60)}"), (3, f"y {say(50)} {passage}"), (3, f"{say(30)} {secret}"), (3, f"{say(30)} {secret}"), (4, None), (4, ""), (None, say(30)), (None, f"{say(9)} {secret}"), (5, b)]
+    extra = ["gone_id", "changed_id", "new_text", "row_key", "found", "kept", "fp", "node", "a.b", "labelled", "hash"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    df = df.withColumns({c: F.lit(f"<{c}>") for c in extra})
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.materialize(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == df.columns
+        found = docs.collect()
+        assert all(r[c] == f"<{c}>" for r in found for c in extra) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in found)
+        seen.append(sorted((r.doc_id or 0, r.text or "") for r in found))
+    clean, single, cut, masked = seen
+    assert clean == sorted((i or 0, t or "") for i, t in rows)
+    left = [(i or 0, t or "") for i, t in [(1, a), (1, b), *rows[4:8], (4, ""), rows[10], rows[11]]]
+    assert single == sorted(left)
+    assert cut == sorted((i, t.replace(passage, "").strip() if i == 3 and t.startswith("y ") else t) for i, t in single)
+    assert masked == sorted((i, t.replace(secret, "[secret]")) for i, t in cut)
+    out = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(masked)
+    bare = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text", "lang", "source")
+    assert pipeline.cut_repeats(spark, bare, str(tmp_path)).columns == bare.columns
