@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Molar factors of unit texts after normalization (fixed values).
-MOLAR = {"m": 1.0, "mm": 1e-3, "um": 1e-6, "nm": 1e-9, "pm": 1e-12, "fm": 1e-15}
-#: Texts that mean active and inactive (fixed values).
-ACTIVE = ("active", "1", "true", "yes", "hit", "positive", "pos", "a")
-INACTIVE = ("inactive", "0", "false", "no", "negative", "neg", "i", "not active", "non-active", "nonactive")
+MOLAR = {
+    "m": 1.0, "mol/l": 1.0, "molar": 1.0, "mm": 1e-3, "millimolar": 1e-3, "um": 1e-6, "micromolar": 1e-6,
+    "nm": 1e-9, "nanomolar": 1e-9, "pm": 1e-12, "picomolar": 1e-12,
+}
+#: Factors to nanomolar, in the order in which parts of a unit's text are tried (fixed values).
+NANOMOLAR = {
+    "nm": 1.0, "nanomolar": 1.0, "um": 1e3, "\u03bcm": 1e3, "micromolar": 1e3, "mm": 1e6, "millimolar": 1e6,
+    "m": 1e9, "molar": 1e9, "pm": 1e-3, "picomolar": 1e-3,
+}
+#: Texts that mean active and inactive, and parts that do (fixed values).
+ACTIVE = ("active", "act", "positive", "pos", "hit", "yes", "true", "1")
+INACTIVE = ("inactive", "inact", "negative", "neg", "no", "false", "0", "non-active", "not active", "inconclusive")
+INACTIVE_PARTS, ACTIVE_PARTS = ("inactive", "not active", "inconclusive"), ("active", "hit")
 
 
 def no_nan(c: Column) -> Column:
-    """NaN becomes null, as the reference's frames know one kind of missing value."""
+    """NaN becomes null: there is one kind of missing value."""
     return F.when(F.isnan(c), None).otherwise(c)
 
 
@@ -38,16 +47,31 @@ def p_scale(value: Column, unit: Column) -> Column:
 
 
 def to_nanomolar(value: Column, unit: Column) -> Column:
-    return value.cast("double") * molar_factor(unit) / 1e-9
+    """A concentration in nM: by the exact unit, else by the first known unit that holds the text or is held by it.
+
+    The second rule takes any unit with an m in it for one of concentration; callers that
+    want known units only use p_scale.
+    """
+    u = F.lower(F.trim(unit))
+    out = None
+    for name, factor in NANOMOLAR.items():
+        out = F.when(u == name, factor) if out is None else out.when(u == name, factor)
+    for name, factor in NANOMOLAR.items():
+        out = out.when((u != "") & (u.contains(name) | F.lit(name).contains(u)), factor)
+    return value.cast("double") * out
 
 
 def parse_label(c: Column) -> Column:
     """'active', 'inactive' or null: exact texts first, then parts."""
     t = F.lower(F.trim(c.cast("string")))
-    return (
-        F.when(t.isin(*ACTIVE), "active").when(t.isin(*INACTIVE), "inactive")
-        .when(t.contains("inactive") | t.contains("not active"), "inactive").when(t.contains("active"), "active")
-    )
+    part = lambda parts: F.greatest(*[t.contains(p) for p in parts])
+    return F.when(t.isin(*INACTIVE), "inactive").when(t.isin(*ACTIVE), "active").when(part(INACTIVE_PARTS), "inactive").when(part(ACTIVE_PARTS), "active")
+
+
+def parse_comment(c: Column) -> Column:
+    """'inactive' for a comment that holds no, inconclusive or inactive anywhere (also within words, as in unknown), else 'active'; null for null."""
+    t = F.lower(c)
+    return F.when(t.contains("no") | t.contains("inconclusive") | t.contains("inactive"), "inactive").when(c.isNotNull(), "active")
 
 
 def normalize_category(c: Column) -> Column:
@@ -101,8 +125,12 @@ def rating(score: Column) -> Column:
 
 
 def keyword_pattern(keyword: str) -> str:
-    """A keyword as an expression that allows a hyphen or blank where letters and digits meet or it holds one."""
+    """A keyword as an expression that allows a hyphen or blank where it holds one or a digit follows a letter.
+
+    Up to three parts may also stand together; more need the separator. A keyword of one
+    part is itself.
+    """
     import re
 
-    parts = re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s-]+", keyword)
-    return "[- ]?".join(re.escape(p) for p in parts)
+    parts = [p for word in re.split(r"[-\s]+", keyword.strip()) for p in re.split(r"(?<=[A-Za-z])(?=[0-9])", word) if p]
+    return ("[- ]?" if len(parts) <= 3 else "[- ]").join(re.escape(p) for p in parts)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import normalize_unit
+from tessera.operators.frame import quantiles
 
 
 def resolve_regression_duplicates(df: DataFrame, identity: list[str], targets: list[str], threshold: float, order: list[str]) -> DataFrame:
@@ -40,10 +41,8 @@ def duplicate_audit(df: DataFrame, identity: list[str], target: str, threshold:
 def iqr_flags(df: DataFrame, column: str, factor: float = 1.5, group: list[str] | None = None) -> DataFrame:
     """Rows outside factor times the interquartile range, by group. Groups of under 4 values or without spread have none."""
     group = group or []
-    q = df.groupBy(*group).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count(column).alias("_n"))
-    q = q.where((F.col("_n") >= 4) & (F.col("_q")[1] > F.col("_q")[0])).select(
-        *group, (F.col("_q")[0] - factor * (F.col("_q")[1] - F.col("_q")[0])).alias("low_bound"), (F.col("_q")[1] + factor * (F.col("_q")[1] - F.col("_q")[0])).alias("high_bound")
-    )
+    q = quantiles(df, column, {"_a": 0.25, "_b": 0.75}, group).where("n >= 4 and _b > _a")
+    q = q.select(*group, (F.col("_a") - factor * (F.col("_b") - F.col("_a"))).alias("low_bound"), (F.col("_b") + factor * (F.col("_b") - F.col("_a"))).alias("high_bound"))
     joined = df.join(q, group) if group else df.join(F.broadcast(q))
     return joined.where((F.col(column) < F.col("low_bound")) | (F.col(column) > F.col("high_bound")))
 
@@ -54,23 +53,77 @@ def unit_quality(df: DataFrame, unit: str, group: list[str]) -> DataFrame:
     return out.select(*group, F.array_join("units", "|").alias("units"), F.size("units").cast("long").alias("n_units"), (F.size("units") <= 1).alias("homogeneous"))
 
 
-def ordered_distinct(value: Column, order: Column, separator: str = "|") -> Column:
-    """An aggregate: distinct trimmed tokens of pipe-joined cells in the order they are first seen, joined again."""
-    cells = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
-    tokens = F.flatten(F.transform(cells, lambda s: F.transform(F.split(s["v"], "\\|"), lambda t: F.trim(t))))
-    return F.array_join(F.array_distinct(F.filter(tokens, lambda t: t != "")), separator)
+def distinct_tokens(df: DataFrame, keys: list[str], column: str, order: str, name: str, separator: str = "|") -> DataFrame:
+    """(keys, name): distinct trimmed tokens of pipe-joined cells in the order they are first seen, joined again.
+
+    Tokens meet with their first place alone, so that a key's many rows are reduced
+    before they are put in order. Keys without tokens are left out.
+    """
+    each = df.where(F.col(column).isNotNull()).select(*keys, F.col(order).alias("_o"), F.posexplode(F.split(F.col(column).cast("string"), "\\|")).alias("_p", "_t")).withColumn("_t", F.trim("_t"))
+    first = each.where("_t <> ''").groupBy(*keys, "_t").agg(F.min(F.struct("_o", "_p")).alias("_f"))
+    tokens = F.array_sort(F.collect_list(F.struct("_f", "_t")))
+    return first.groupBy(*keys).agg(F.array_join(F.transform(tokens, lambda s: s["_t"]), separator).alias(name))
 
 
 def merge_compounds(df: DataFrame, identity: str, activity: str, metadata: list[str], order: str) -> DataFrame:
-    """One row for each identity: activity statistics (sample std, null for one value) and unions of metadata."""
-    return df.groupBy(identity).agg(
-        F.median(activity).alias("activity_final"), F.avg(activity).alias("activity_mean"), F.min(activity).alias("activity_min"), F.max(activity).alias("activity_max"),
-        F.stddev_samp(activity).alias("activity_std"), F.count(activity).alias("n_activity"), *[ordered_distinct(F.col(c), F.col(order)).alias(f"{c}s") for c in metadata],
+    """One row for each identity (null is one): activity statistics (sample std, null for one value) and unions of metadata."""
+    out = df.groupBy(identity).agg(
+        F.avg(activity).alias("activity_mean"), F.min(activity).alias("activity_min"), F.max(activity).alias("activity_max"),
+        F.stddev_samp(activity).alias("activity_std"), F.count(activity).alias("n_activity"),
     )
+    parts = [quantiles(df, activity, {"activity_final": 0.5}, [identity]).select(F.col(identity).alias("_k0"), "activity_final")]
+    parts += [distinct_tokens(df, [identity], c, order, plural(c)).withColumnRenamed(identity, f"_k{k + 1}") for k, c in enumerate(metadata)]
+    for k, part in enumerate(parts):
+        out = out.join(part, F.col(identity).eqNullSafe(F.col(f"_k{k}")), "left").drop(f"_k{k}")
+    numbers = ["activity_final", "activity_mean", "activity_min", "activity_max", "activity_std", "n_activity"]
+    return out.select(identity, *numbers, *[plural(c) for c in metadata])
+
+
+#: Columns whose merged values keep their name (fixed values).
+SINGULAR = ("cluster_id", "query_keywords", "source")
+
+
+def plural(column: str) -> str:
+    """The name of a merged column: a final y gives ies, others an s."""
+    if column in SINGULAR:
+        return column
+    return f"{column[:-1]}ies" if column.endswith("y") else f"{column}s"
 
 
 def merge_labels(df: DataFrame, identity: str, label: str) -> DataFrame:
-    """Majority label (ties to active), counts and the share of active."""
-    out = df.groupBy(identity).agg(F.count_if(F.col(label) == "active").alias("n_active"), F.count_if(F.col(label) == "inactive").alias("n_inactive"))
-    n = F.col("n_active") + F.col("n_inactive")
-    return out.where(n > 0).select(identity, "n_active", "n_inactive", F.when(F.col("n_active") >= F.col("n_inactive"), "active").otherwise("inactive").alias("majority"), (F.col("n_active") / n).alias("active_fraction"))
+    """The commonest label (ties to the least), its rows, those of active and inactive, the share of active, and all counts as text, commonest first."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(identity, F.col(label).alias("l")).agg(F.count("*").alias("c"))
+    all_ = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "l")))
+    by = counts.groupBy(identity).agg(
+        all_.alias("a"), F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("l") == "active", F.col("c"))), F.lit(0)).alias("n_active"),
+        F.coalesce(F.sum(F.when(F.col("l") == "inactive", F.col("c"))), F.lit(0)).alias("n_inactive"),
+    )
+    text = F.array_join(F.transform("a", lambda s: F.concat_ws(":", s["l"], (-s["c"]).cast("string"))), "|")
+    return by.select(identity, F.col("a")[0]["l"].alias("majority"), "n", "n_active", "n_inactive", (F.col("n_active") / F.col("n")).alias("active_fraction"), text.alias("label_counts"))
+
+
+def audit_records(df: DataFrame, identity: list[str], target: str, threshold: float, key: str) -> DataFrame:
+    """Groups of two and more with what was done, their values as JSON and their row keys, both in the order of the keys."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(target).alias("v")))).alias("r")
+    groups = df.groupBy(*identity).agg(F.count("*").alias("n_rows"), (F.max(target) - F.min(target)).alias("spread"), rows).where("n_rows > 1")
+    action = F.when(F.col("spread") > threshold, "removed").otherwise("aggregated")
+    return groups.select(*identity, "n_rows", "spread", action.alias("action"), F.to_json(F.transform("r", lambda s: s["v"])).alias("values"), F.array_join(F.transform("r", lambda s: s["k"].cast("string")), ",").alias("row_keys"))
+
+
+def collapse_examples(df: DataFrame, identity: str, raw: str, limit: int = 50) -> DataFrame:
+    """Identities with more than one raw spelling: how many, and the spellings in order; the most spellings first."""
+    by = df.where(F.col(identity).isNotNull()).groupBy(identity, raw).agg(F.count("*").alias("c")).where(F.col(raw).isNotNull())
+    out = by.groupBy(identity).agg(F.count("*").alias("n_spellings"), F.sum("c").alias("n_rows"), F.array_join(F.array_sort(F.collect_list(raw)), "|").alias("spellings"))
+    return out.where("n_spellings > 1").orderBy(F.desc("n_spellings"), F.asc(identity)).limit(limit)
+
+
+def standardization_summary(df: DataFrame, raw: str, standardized: str) -> DataFrame:
+    """One row of counters: rows, empty, failed, valid, changed, distinct before and after, and rows that lost stereo marks."""
+    stereo = lambda c: F.coalesce(F.col(c).rlike(r"[@/\\\\]"), F.lit(False))
+    empty = F.col(raw).isNull() | (F.trim(raw) == "")
+    ok = F.col(standardized).isNotNull()
+    return df.agg(
+        F.count("*").alias("n_rows"), F.count_if(empty).alias("n_empty"), F.count_if(~empty & ~ok).alias("n_failed"), F.count_if(ok).alias("n_valid"),
+        F.count_if(ok & (F.col(raw) != F.col(standardized))).alias("n_changed"), F.count_distinct(raw).alias("n_raw"), F.count_distinct(standardized).alias("n_standardized"),
+        F.count_if(ok & stereo(raw) & ~stereo(standardized)).alias("n_stereo_lost"),
+    )

@@ -39,8 +39,9 @@ def best_of_each(df: DataFrame, group: str, score: str, id_col: str, most: int)
     return best.select(group, f"b.{id_col}", f"b.{score}").orderBy(F.desc(score), F.asc(id_col)).limit(most)
 
 
-def upsert(catalog: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The union in which the later record of a key wins."""
-    both = catalog.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)), allowMissingColumns=True)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("_age"))
-    return both.withColumn("_r", rank).where("_r = 1").drop("_age", "_r")
+def upsert(catalog: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The union in which a new record of a key wins over old ones, and of records of one side the last by order (all columns without one); sorted by key."""
+    both = catalog.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(2)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (key, "_age")]
+    last = F.max_by(F.struct(*rest), F.struct("_age", *[F.col(c) for c in order or sorted(rest)]))
+    return both.groupBy(key).agg(last.alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in both.columns if c != "_age"]).orderBy(key)

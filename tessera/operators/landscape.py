@@ -25,19 +25,30 @@ def class_share(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy("gx", "gy").agg(F.count("*").alias("density"), (F.count_if(F.col(label) == 1) / F.count("*")).alias("share"))
 
 
-def ruggedness(grid: DataFrame, value: str) -> DataFrame:
-    """Root of summed squared differences to the up to eight neighbours. Each cell is sent to its neighbours: an equi-join, not a range join."""
-    step = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    sent = grid.select("gx", "gy", F.col(value).alias("_v")).withColumn("dx", step).withColumn("dy", step).where("dx <> 0 or dy <> 0")
-    sent = sent.select((F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "_v")
-    return grid.join(sent, ["gx", "gy"]).groupBy("gx", "gy").agg(F.sqrt(F.sum(F.pow(F.col(value) - F.col("_v"), 2))).alias("ruggedness"))
-
+def ruggedness(grid: DataFrame, value: str, size: int) -> DataFrame:
+    """Mean over a whole size x size grid of the root of summed squared differences to the up to eight neighbours, times 100. Empty cells are 0.
 
-def entropy(grid: DataFrame) -> DataFrame:
-    """Normalized Shannon entropy of the density over occupied nodes."""
-    total = grid.agg(F.sum("density").alias("t"), F.count("*").alias("k"))
+    With m cells in the 3 x 3 window of a cell, sums s1 of their values and s2 of their
+    squares, the sum is m h^2 - 2 h s1 + s2; each cell is sent to its neighbours, an
+    equi-join by aggregation, and the grid itself is no more than its cells.
+    """
+    step = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    one = grid.select("gx", "gy", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")).where("v <> 0")
+    sent = one.withColumn("dx", step).withColumn("dy", step)
+    inside = lambda c: (c >= 0) & (c < size)
+    sent = sent.select((F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "v", F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("v")).otherwise(0.0).alias("h"))
+    sums = sent.where(inside(F.col("gx")) & inside(F.col("gy"))).groupBy("gx", "gy").agg(F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"), F.sum("h").alias("h"))
+    edge = lambda c: 3 - (F.col(c) == 0).cast("int") - (F.col(c) == size - 1).cast("int")
+    square = F.greatest(edge("gx") * edge("gy") * F.col("h") * F.col("h") - 2 * F.col("h") * F.col("s1") + F.col("s2"), F.lit(0.0))
+    # cells whose window is empty add nothing but count
+    return sums.agg((F.coalesce(F.sum(F.sqrt(square)), F.lit(0.0)) / (size * size) * 100).alias("ruggedness"))
+
+
+def entropy(grid: DataFrame, n_nodes: int) -> DataFrame:
+    """Shannon entropy of the density, over the logarithm of the number of all nodes, empty ones included."""
+    total = grid.agg(F.sum("density").alias("t"))
     p = F.col("density") / F.col("t")
-    return grid.join(F.broadcast(total)).agg((-F.sum(p * F.ln(p)) / F.ln(F.max("k"))).alias("entropy"))
+    return grid.where("density > 0").join(F.broadcast(total)).agg((-F.sum(p * F.ln(p)) / F.ln(F.lit(float(n_nodes)))).alias("entropy"))
 
 
 def top_nodes(grid: DataFrame, metric: str, n: int, least: float | None = None, ascending: bool = False) -> DataFrame:

@@ -7,20 +7,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.scalars import keyword_pattern, tokens
+from tessera.functions.scalars import keyword_pattern
+from tessera.operators.frame import running_sums, with_row_id
+from tessera.plans.storage import materialize
 
 
-def rank_documents(df: DataFrame, query: str, title: str, body: str, id_col: str, limit: int = 10) -> DataFrame:
-    """Scores by term: 100 if the title is the term, 30 if it is a token of the title, 20 if it is in the title, 5 if it is in the body."""
+#: What a term is worth that is the id, stands in it, in the title, or anywhere (fixed values).
+IS_ID, IN_ID, IN_TITLE, ANYWHERE = 100, 30, 20, 5
+
+
+def rank_documents(df: DataFrame, query: str, id_col: str, title: str, kind: str, others: list[str], limit: int | None = None, order: str | None = None) -> DataFrame:
+    """(id, kind, title, score), best first, then by kind and title.
+
+    Each term of the query is worth most if it is the id, less if it stands in the id, in
+    the title, or in id, title, kind or the other columns (summary and metadata). A query
+    without terms ranks all: 100 less the position in `order` (the id), 1 at least.
+    """
     import re
 
-    score = None
-    for term in dict.fromkeys(re.findall(r"[a-z0-9_:+.-]+", query.lower())):
-        t, b = F.lower(F.col(title)), F.lower(F.col(body))
-        one = F.when(t == term, 100).when(F.array_contains(tokens(F.col(title)), term), 30).when(t.contains(term), 20).when(b.contains(term), 5).otherwise(0)
-        score = one if score is None else score + one
-    out = df.select(id_col, title, (score if score is not None else F.lit(0)).alias("score")).where("score > 0")
-    return out.orderBy(F.desc("score"), F.asc(id_col)).limit(limit)
+    text = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    hay = F.concat_ws(" ", *[text(c) for c in (id_col, title, *others, kind)])
+    terms = re.findall(r"[a-z0-9_:+.-]+", query.lower())
+    score = F.lit(0)
+    for term in terms:
+        score = score + F.when(text(id_col) == term, IS_ID).when(text(id_col).contains(term), IN_ID).when(text(title).contains(term), IN_TITLE).when(hay.contains(term), ANYWHERE).otherwise(0)
+    if terms:
+        out = df.withColumn("score", score)
+    else:
+        out = with_row_id(df, [order or id_col], "_at").withColumn("score", F.greatest(F.lit(1), 100 - F.col("_at")).cast("int"))
+    out = out.where("score > 0").select(id_col, kind, title, "score").orderBy(F.desc("score"), F.asc(kind), F.asc(title))
+    return out if limit is None else out.limit(limit)
 
 
 def keyword_rows(df: DataFrame, text: str, keywords: list[str]) -> DataFrame:
@@ -36,12 +52,12 @@ def jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def ks_statistic(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic: distinct values with counts alone are put in order."""
+    """Two-sample Kolmogorov-Smirnov statistic: counts by distinct value are put in order by ranges."""
     by = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(every) - F.sum("b").over(upto) / F.sum("b").over(every))
-    return by.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    upto = materialize(running_sums(by, [value], {"ua": "a", "ub": "b"}), "ks")
+    whole = upto.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.try_divide(F.col("ua"), F.col("na").cast("double")) - F.try_divide(F.col("ub"), F.col("nb").cast("double")))
+    return upto.join(F.broadcast(whole)).agg(F.max(gap).alias("ks"))
 
 
 def stability(df: DataFrame, run: str, values: list[str]) -> DataFrame:

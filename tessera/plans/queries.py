@@ -89,9 +89,9 @@ def compound_merge(spark, sf):
     return rounded(out, ["activity_final", "activity_mean", "activity_min", "activity_max"], 7).withColumn("activity_std", F.round("activity_std", 3))
 
 
-@query("""SELECT user_id, count(*) FILTER (l = 'active') AS n_active, count(*) FILTER (l = 'inactive') AS n_inactive,
-  CASE WHEN count(*) FILTER (l = 'active') >= count(*) FILTER (l = 'inactive') THEN 'active' ELSE 'inactive' END AS majority, round(avg((l = 'active')::INT), 6) AS active_fraction
-FROM (SELECT user_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'active' ELSE 'inactive' END AS l FROM events) GROUP BY 1""")
+@query("""WITH l AS (SELECT user_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'active' ELSE 'inactive' END AS l FROM events), c AS (SELECT user_id, l, count(*) AS c FROM l GROUP BY ALL)
+SELECT user_id, arg_min(l, struct_pack(a := -c, b := l)) AS majority, sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (l = 'active'), 0)::BIGINT AS n_active, coalesce(sum(c) FILTER (l = 'inactive'), 0)::BIGINT AS n_inactive,
+  round(coalesce(sum(c) FILTER (l = 'active'), 0) / sum(c), 6) AS active_fraction, string_agg(l || ':' || c, '|' ORDER BY c DESC, l) AS label_counts FROM c GROUP BY 1""")
 def compound_labels(spark, sf):
     label = F.when(F.col("event_type").isin("purchase", "click"), "Hit").otherwise(" not active ")
     df = table(spark, sf, "events").select("user_id", scalars.parse_label(label).alias("label"))
@@ -150,7 +150,8 @@ def paged_query(spark, sf):
 @query("""SELECT event_id, (nullif(value, 0) IS NULL) AS value, (CASE WHEN event_type = 'view' THEN NULL ELSE event_type END IS NULL) AS event_type FROM events""")
 def null_flags(spark, sf):
     df = table(spark, sf, "events").select("event_id", F.nullif("value", F.lit(0.0)).alias("value"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"))
-    return df.select("event_id", *[F.col(c).isNull().alias(c) for c in ("value", "event_type")])
+    flags = frame.isnull(df, ["value", "event_type"], keep=["event_id"])
+    return flags
 
 
 @query("""SELECT c_custkey AS id, c_name AS name, round(c_acctbal, 2) AS balance, NULL::VARCHAR AS note FROM customer UNION ALL SELECT s_suppkey, s_name, round(s_acctbal, 2), 'supplier' FROM supplier""")
@@ -233,28 +234,50 @@ def feature_join(spark, sf):
 # Activity
 
 
-@query("""SELECT event_id, round(CASE WHEN value > 0 AND f IS NOT NULL THEN -log10(value * f) END, 6) AS p_value, round(value * f / 1e-9, 3) AS nanomolar
-FROM (SELECT *, CASE event_type WHEN 'click' THEN 1e-9 WHEN 'view' THEN 1e-6 WHEN 'purchase' THEN 1e-3 END AS f FROM events)""")
+# nanomolar goes by the first known unit that a text holds: the micro sign is not the Greek letter, and both 'µm' and 'm m' hold an m
+@query("""SELECT event_id, round(CASE WHEN value > 0 AND f IS NOT NULL THEN -log10(value * f) END, 6) AS p_value, round(value * g, 3) AS nanomolar
+FROM (SELECT *, CASE event_type WHEN 'click' THEN 1e-9 WHEN 'view' THEN 1e-6 WHEN 'purchase' THEN 1e-3 END AS f, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 1e9 WHEN 'purchase' THEN 1e9 END AS g FROM events)""")
 def activity_scale(spark, sf):
     unit = F.when(F.col("event_type") == "click", " nM").when(F.col("event_type") == "view", "µM").when(F.col("event_type") == "purchase", "m M").otherwise("%")
     df = table(spark, sf, "events")
     return df.select("event_id", F.round(scalars.p_scale(F.col("value"), unit), 6).alias("p_value"), F.round(scalars.to_nanomolar(F.col("value"), unit), 3).alias("nanomolar"))
 
 
-THRESHOLDS = (5.0, 10.0, 15.0, 20.0)
-_THRESHOLD_SQL = """WITH c AS (SELECT l_suppkey, t.t AS threshold, count(*) FILTER (l_quantity <= t.t) AS n_active, count(*) AS n FROM lineitem, (VALUES (5.0::DOUBLE), (10.0), (15.0), (20.0)) t(t) GROUP BY ALL),
-b AS (SELECT * FROM c WHERE n > 100 AND n_active >= 20 AND 2 * n_active < n QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY abs(n_active / n - 0.25), threshold) = 1)"""
+THRESHOLDS = (20.0, 4.0, 1.0)
+_THRESHOLD_SQL = """t AS (SELECT * FROM (VALUES (0, 20.0::DOUBLE), (1, 4.0), (2, 1.0)) t(k, t)),
+c AS (SELECT l_suppkey, t.k, t.t AS threshold, count(*) FILTER (v < t.t) AS n_active, count(*) FILTER (v >= 10 * t.t) AS n_inactive FROM v, t GROUP BY ALL),
+b AS (SELECT l_suppkey, threshold, n_active, n_active + n_inactive AS n FROM c WHERE n_active + n_inactive > 100 AND n_active >= 20 AND 2 * n_inactive > n_active + n_inactive
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY abs(n_active / (n_active + n_inactive) - 0.25), k) = 1)"""
 
 
-@query(_THRESHOLD_SQL + " SELECT l_suppkey, threshold, n_active, n FROM b")
+def _doses(spark, sf):
+    """Lines as measurements: the price over the quantity squared in nM or, for every third line, uM; every seventh one is an inhibition."""
+    value = F.col("l_quantity") * (1 + F.pmod("l_partkey", F.lit(7)))
+    kind = F.when(F.pmod("l_orderkey", F.lit(7)) == 0, "% Inhibition").when(F.pmod("l_orderkey", F.lit(7)) == 1, "Solubility").otherwise("IC50")
+    micro = F.pmod("l_linenumber", F.lit(3)) == 0
+    return table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_partkey", kind.alias("standard_type"), F.when(micro, value / 1000).otherwise(value).cast("string").alias("standard_value"), F.when(micro, "uM").otherwise("nM").alias("standard_units")
+    )
+
+
+_DOSES_SQL = """d AS (SELECT l_suppkey, l_partkey, l_orderkey % 7 AS kind, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity * (1 + l_partkey % 7) / 1000 * 1000 ELSE l_quantity * (1 + l_partkey % 7) END AS v,
+  CASE WHEN l_linenumber % 3 = 0 THEN l_quantity * (1 + l_partkey % 7) / 1000 ELSE l_quantity * (1 + l_partkey % 7) END AS x FROM lineitem), v AS (SELECT * FROM d WHERE kind >= 2)"""
+
+
+@query(f"WITH {_DOSES_SQL}, {_THRESHOLD_SQL} SELECT l_suppkey, threshold, n_active, n FROM b")
 def activity_thresholds(spark, sf):
-    return activity.choose_thresholds(table(spark, sf, "lineitem"), "l_suppkey", "l_quantity", THRESHOLDS)
+    rows = _doses(spark, sf).where("standard_type = 'IC50'").withColumn("v", scalars.to_nanomolar(F.col("standard_value").try_cast("double"), F.col("standard_units")))
+    return activity.choose_thresholds(rows, "l_suppkey", "v", THRESHOLDS)
+
 
+_LABELS_SQL = f"""{_DOSES_SQL}, {_THRESHOLD_SQL}, l AS (SELECT l_partkey, CASE WHEN kind = 0 THEN CASE WHEN x <= 50 THEN 'inactive' ELSE 'active' END WHEN kind >= 2 AND v < threshold THEN 'active' WHEN kind >= 2 AND v >= 10 * threshold THEN 'inactive' END AS l
+  FROM d LEFT JOIN b USING (l_suppkey))"""
 
-@query(_THRESHOLD_SQL + """ SELECT l_suppkey, l_partkey, min(l) AS label, count(*) AS n_rows FROM (SELECT l_suppkey, l_partkey, CASE WHEN l_quantity <= threshold THEN 'active' ELSE 'inactive' END AS l FROM lineitem JOIN b USING (l_suppkey)) GROUP BY 1, 2 HAVING min(l) = max(l)""")
+
+@query(f"WITH {_LABELS_SQL} SELECT l_partkey, min(l) AS label, count(*) AS n_rows FROM l WHERE l IS NOT NULL GROUP BY 1 HAVING min(l) = max(l)")
 def activity_labels(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
-    return activity.classify(lines, "l_suppkey", "l_partkey", "l_quantity", activity.choose_thresholds(lines, "l_suppkey", "l_quantity", THRESHOLDS))
+    rows = activity.label_rows(_doses(spark, sf), "l_suppkey", thresholds=THRESHOLDS)
+    return activity.settle(rows, "l_partkey")
 
 
 # Metrics
@@ -265,19 +288,19 @@ def _predicted(spark, sf):
 
 
 _PRED_SQL = "(SELECT *, l_extendedprice AS y, l_quantity * 1000 AS p, l_orderkey % 5 AS fold FROM lineitem)"
-_METRICS = "count(*) AS n, round(avg((y - p) * (y - p)), 0) AS mse, round(avg(abs(y - p)), 3) AS mae, round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2"
+_METRICS = "count(*) AS n, round(avg((y - p) * (y - p)), 0) AS mse, round(avg(abs(y - p)), 3) AS mae, round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(sum(abs(y - p)) / sum(abs(y - mean)), 6) AS rae"
 
 
 def _metric_rounds(df):
-    return rounded(rounded(rounded(df, ["mse"], 0), ["mae", "rmse"], 3), ["r2"])
+    return rounded(rounded(rounded(df, ["mse"], 0), ["mae", "rmse"], 3), ["r2", "rae"])
 
 
-@query(f"SELECT {_METRICS} FROM {_PRED_SQL}")
+@query(f"SELECT {_METRICS} FROM (SELECT *, avg(y) OVER () AS mean FROM {_PRED_SQL})")
 def regression_metrics(spark, sf):
     return _metric_rounds(metrics.regression(_predicted(spark, sf), "y", "p"))
 
 
-@query(f"SELECT l_returnflag, {_METRICS} FROM {_PRED_SQL} GROUP BY 1")
+@query(f"SELECT l_returnflag, {_METRICS} FROM (SELECT *, avg(y) OVER (PARTITION BY l_returnflag) AS mean FROM {_PRED_SQL}) GROUP BY 1")
 def regression_metrics_grouped(spark, sf):
     return _metric_rounds(metrics.regression(_predicted(spark, sf), "y", "p", ["l_returnflag"]))
 
@@ -310,7 +333,7 @@ def confusion_matrix(spark, sf):
 
 @query(f"""WITH c AS {_CLASSES_SQL}, l AS (SELECT k, (SELECT count(*) FROM c WHERE t = k) AS a, (SELECT count(*) FROM c WHERE p = k) AS s, (SELECT count(*) FROM c WHERE t = k AND p = k) AS h FROM (SELECT t AS k FROM c UNION SELECT p FROM c)),
 m AS (SELECT *, CASE WHEN s > 0 THEN h / s ELSE 0 END AS pr, CASE WHEN a > 0 THEN h / a ELSE 0 END AS re FROM l)
-SELECT sum(a)::BIGINT AS n, round(sum(h) / sum(a), 6) AS accuracy, round(avg(CASE WHEN a > 0 THEN re END), 6) AS balanced_accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall,
+SELECT sum(a)::BIGINT AS n, round(sum(h) / sum(a), 6) AS accuracy, round(avg(re), 6) AS balanced_accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall,
   round(avg(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END), 6) AS macro_f1 FROM m""")
 def classification_metrics(spark, sf):
     return rounded(metrics.classification(_classes(spark, sf), "t", "p"), ["accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1"])
@@ -336,16 +359,18 @@ def cross_validation(spark, sf):
     return rounded(metrics.cross_validation(_predicted(spark, sf), "fold", "y", "p"), ["mean", "std", "low", "high"], 3)
 
 
-@query(f"""SELECT {", ".join(LINE)}, fold, round(fold_rmse, 3) AS fold_rmse, round(100 * abs((y - p) / y), 4) AS ape FROM (SELECT *, sqrt(avg((y - p) * (y - p)) OVER (PARTITION BY fold)) AS fold_rmse FROM {_PRED_SQL}) WHERE abs(y - p) >= 2 * fold_rmse""")
+@query(f"""SELECT {", ".join(LINE)}, fold, round(fold_rmse, 3) AS fold_rmse, round(100 * abs((y - p) / y), 4) AS ape FROM (SELECT *, sqrt(avg((y - p) * (y - p)) OVER (PARTITION BY fold)) AS fold_rmse FROM {_PRED_SQL}) WHERE abs(y - p) > 2 * fold_rmse""")
 def fold_outliers(spark, sf):
-    out = outliers.with_fold_rmse(_predicted(spark, sf), "fold", "y", "p").where("abs_error >= 2 * fold_rmse")
+    out = outliers.with_fold_rmse(_predicted(spark, sf), "fold", "y", "p").where("abs_error > 2 * fold_rmse")
     return rounded(rounded(out, ["fold_rmse"], 3), ["ape"], 4).select(*LINE, "fold", "fold_rmse", "ape")
 
 
-@query(f"""WITH e AS (SELECT *, 100 * abs((y - p) / y) AS ape FROM (SELECT *, sqrt(avg((y - p) * (y - p)) OVER (PARTITION BY fold)) AS r FROM {_PRED_SQL}) WHERE abs(y - p) >= 2 * r)
-SELECT {", ".join(LINE)}, round(ape, 4) AS ape FROM e QUALIFY row_number() OVER (ORDER BY ape DESC, {", ".join(LINE)}) <= ceil((SELECT count(*) FROM e) * 0.25)""")
+@query(f"""WITH e AS (SELECT *, 100 * abs((y - p) / y) AS ape FROM (SELECT *, sqrt(avg((y - p) * (y - p)) OVER (PARTITION BY fold)) AS r FROM {_PRED_SQL}) WHERE abs(y - p) > 2 * r AND (l_returnflag = 'R' OR l_discount > 0.05))
+SELECT {", ".join(LINE)}, round(ape, 4) AS ape, row_number() OVER w AS ape_rank FROM e WINDOW w AS (ORDER BY ape DESC, {", ".join(LINE)}) QUALIFY row_number() OVER w <= ceil((SELECT count(*) FROM e) * 0.25)""")
 def outlier_selection(spark, sf):
-    return rounded(outliers.select_regression(_predicted(spark, sf), "fold", "y", "p", LINE), ["ape"], 4).select(*LINE, "ape")
+    rows = _predicted(spark, sf).withColumns({"cliff": F.col("l_returnflag") == "R", "out_of_domain": F.col("l_discount") > 0.05})
+    out = outliers.select_regression(rows, "fold", "y", "p", LINE, flags=["cliff", "out_of_domain"]).where("selected")
+    return rounded(out, ["ape"], 4).select(*LINE, "ape", "ape_rank")
 
 
 @query("""SELECT event_id, round(value, 6) AS value FROM events WHERE abs(value - (SELECT avg(value) FROM events)) > 1.5 * (SELECT stddev_pop(value) FROM events)""")
@@ -404,29 +429,41 @@ def knn_support(spark, sf):
     return rounded(similarity.support(_neighbours(spark, sf)), ["support"]).withColumnRenamed("i", "vec_id")
 
 
-_SALI_SQL = f"""{_PAIRS_SQL}, s AS (SELECT i, max(abs(yi - yj) / greatest(1 - sim, 1e-6)) AS sali, count(*) AS n_neighbours FROM k WHERE rank <= 5 AND sim >= 0.2 AND NOT (sim >= 1 AND yi = yj) GROUP BY i)"""
+_CLIFF_PAIRS_SQL = """p AS (SELECT q.vec_id AS i, c.vec_id AS j, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS sim, abs(q.label - c.label)::DOUBLE AS gap FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id),
+s AS (SELECT *, gap / greatest(1 - sim, 1e-6) AS sali, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM p WHERE sim >= 0.2 AND NOT (sim >= 1 AND gap <= 0)),
+n AS (SELECT CASE WHEN quantile_cont(sali, 0.95) > 0 THEN quantile_cont(sali, 0.95) ELSE 1 END AS p95, count(*) AS n_pairs FROM s)"""
+_SALI_SQL = f"""{_CLIFF_PAIRS_SQL}, m AS (SELECT i, count(*) AS n, max(sim) AS ms, max(gap) AS mg, max(sali) AS r FROM s WHERE rank <= 5 GROUP BY i),
+f AS (SELECT vec_id, coalesce(m.n, 0) AS n_neighbours, coalesce(ms, 0) AS max_similarity, coalesce(mg, 0) AS max_gap, coalesce(r, 0) AS raw, least(coalesce(r, 0) / p95, 1) AS norm FROM embeddings LEFT JOIN m ON vec_id = i, n),
+g AS (SELECT *, round(norm, 6) AS score, norm >= 0.3 AND n_neighbours >= 1 AS flagged FROM f)"""
 
 
 def _cliffs(spark, sf):
-    y = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
-    return similarity.cliffs(_neighbours(spark, sf), y, 0.2)
+    df = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    return similarity.cliff_index("SALI")(df, "vec_id", "embedding", "label", 0.2, k=5, flag=0.3, measure="dot")
 
 
-@query(f"WITH {_SALI_SQL} SELECT i AS vec_id, round(sali, 5) AS sali, n_neighbours FROM s")
+@query(f"WITH {_SALI_SQL} SELECT vec_id, n_neighbours, round(max_similarity, 6) AS max_similarity, max_gap, round(raw, 5) AS raw, score AS norm, flagged FROM g")
 def sali(spark, sf):
-    return rounded(_cliffs(spark, sf), ["sali"], 5).withColumnRenamed("i", "vec_id")
+    return rounded(rounded(_cliffs(spark, sf), ["max_similarity", "norm"]), ["raw"], 5)
 
 
-@query(f"""WITH {_SALI_SQL}, r AS (SELECT i, round(sali, 5) AS sali FROM s), f AS (SELECT *, sali >= 1 AS flagged, row_number() OVER (PARTITION BY sali >= 1 ORDER BY sali DESC, i) AS r, count(*) OVER (PARTITION BY sali >= 1) AS n FROM r)
-SELECT i AS vec_id, sali, flagged, CASE WHEN NOT flagged THEN 'none' WHEN r <= ceil(0.2 * n) THEN 'high' WHEN r <= ceil(0.4 * n) THEN 'medium' ELSE 'low' END AS tier FROM f""")
+@query(f"""WITH {_SALI_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY flagged ORDER BY score DESC, vec_id) AS r, count(*) OVER (PARTITION BY flagged) AS k FROM g),
+u AS (SELECT *, CASE WHEN NOT flagged THEN 'none' WHEN r <= greatest(1, ceil(0.2 * k)) THEN 'high' WHEN r <= greatest(1, ceil(0.2 * k), ceil(0.4 * k)) THEN 'medium' ELSE 'low' END AS tier FROM t),
+w AS (SELECT *, concat_ws('|', CASE WHEN flagged THEN 'HIGH_ACTIVITY_DISCONTINUITY' END, CASE WHEN score >= 0.8 THEN 'HIGH_NORMALIZED_INDEX_SCORE' END, CASE WHEN n_neighbours >= 3 THEN 'MULTIPLE_SIMILAR_NEIGHBORS' END) AS codes FROM u)
+SELECT vec_id, score AS norm, flagged, tier, CASE WHEN codes = '' THEN 'NOT_FLAGGED' ELSE codes END AS reason_codes FROM w""")
 def sali_tiers(spark, sf):
-    scored = rounded(_cliffs(spark, sf), ["sali"], 5).select(F.col("i").alias("vec_id"), "sali").withColumn("flagged", F.col("sali") >= 1)
-    return similarity.tiers(scored, "sali", "flagged", "vec_id")
+    scored = rounded(_cliffs(spark, sf), ["norm"])
+    return similarity.reasons(similarity.tiers(scored, "norm", "flagged", "vec_id")).select("vec_id", "norm", "flagged", "tier", "reason_codes")
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT i, j, round(sim, 6) AS sim FROM p WHERE sim >= 0.3""")
+def similarity_self_join(spark, sf):
+    return rounded(similarity.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3, "dot"), ["sim"])
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), b AS (SELECT d, min(x)::DOUBLE AS low, max(x)::DOUBLE AS high FROM e WHERE vec_id % 4 <> 0 GROUP BY d)
 SELECT vec_id, count(*) FILTER (x < low OR x > high) AS violations, round(max(greatest(low - x, x - high, 0) / greatest(high - low, 1)), 6) AS worst,
-  CASE WHEN count(*) FILTER (x < low OR x > high) > 0 THEN 'out_of_domain' ELSE 'in_domain' END AS status FROM e JOIN b USING (d) WHERE vec_id % 4 = 0 GROUP BY vec_id""")
+  CASE WHEN count(*) FILTER (x < low OR x > high) > 0 THEN 'out_of_domain' ELSE 'in_domain' END AS status, coalesce(string_agg(d - 1, ';' ORDER BY d) FILTER (x < low OR x > high), '') AS violating FROM e JOIN b USING (d) WHERE vec_id % 4 = 0 GROUP BY vec_id""")
 def bounding_box(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", "embedding")
     box = similarity.fit_box(df.where("vec_id % 4 <> 0"), "embedding")
@@ -470,15 +507,15 @@ def landscape_class(spark, sf):
     return rounded(landscape.class_share(_grid(spark, sf), "label"), ["share"])
 
 
-@query(f"""WITH {_GRID_SQL}, d AS (SELECT gx, gy, count(*)::DOUBLE AS density FROM g GROUP BY 1, 2)
-SELECT a.gx, a.gy, round(sqrt(sum((a.density - b.density) ** 2)), 6) AS ruggedness FROM d a JOIN d b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND (a.gx <> b.gx OR a.gy <> b.gy) GROUP BY 1, 2""")
+@query(f"""WITH {_GRID_SQL}, c AS (SELECT x::INT AS gx, y::INT AS gy FROM range(10) a(x), range(10) b(y)), d AS (SELECT gx, gy, coalesce(n, 0)::DOUBLE AS h FROM c LEFT JOIN (SELECT gx, gy, count(*) AS n FROM g GROUP BY 1, 2) USING (gx, gy))
+SELECT round(avg(r) * 100, 6) AS ruggedness FROM (SELECT sqrt(sum((a.h - b.h) ** 2)) AS r FROM d a JOIN d b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 GROUP BY a.gx, a.gy)""")
 def landscape_ruggedness(spark, sf):
-    return rounded(landscape.ruggedness(landscape.density(_grid(spark, sf)), "density"), ["ruggedness"])
+    return rounded(landscape.ruggedness(landscape.density(_grid(spark, sf)), "density", 10), ["ruggedness"])
 
 
-@query(f"WITH {_GRID_SQL}, d AS (SELECT count(*) AS n FROM g GROUP BY gx, gy) SELECT round(-sum((n / t) * ln(n / t)) / ln(count(*)), 6) AS entropy FROM d, (SELECT sum(n) AS t FROM d)")
+@query(f"WITH {_GRID_SQL}, d AS (SELECT count(*) AS n FROM g GROUP BY gx, gy) SELECT round(-sum((n / t) * ln(n / t)) / ln(100), 6) AS entropy FROM d, (SELECT sum(n) AS t FROM d)")
 def landscape_entropy(spark, sf):
-    return rounded(landscape.entropy(landscape.density(_grid(spark, sf))), ["entropy"])
+    return rounded(landscape.entropy(landscape.density(_grid(spark, sf)), 100), ["entropy"])
 
 
 @query(f"WITH {_GRID_SQL} SELECT gx, gy, count(*) AS density FROM g GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY density DESC, gx, gy LIMIT 5")
@@ -545,11 +582,19 @@ def group_split(spark, sf):
 # Search and comparison
 
 
-@query("""WITH s AS (SELECT p_partkey, p_name, (CASE WHEN lower(p_name) = 'red' THEN 100 WHEN list_contains(regexp_extract_all(lower(p_name), '[a-z0-9_:+.-]+'), 'red') THEN 30 WHEN contains(lower(p_name), 'red') THEN 20 WHEN contains(lower(p_type), 'red') THEN 5 ELSE 0 END
-  + CASE WHEN lower(p_name) = '1' THEN 100 WHEN list_contains(regexp_extract_all(lower(p_name), '[a-z0-9_:+.-]+'), '1') THEN 30 WHEN contains(lower(p_name), '1') THEN 20 WHEN contains(lower(p_type), '1') THEN 5 ELSE 0 END)::INT AS score FROM part)
-SELECT * FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 25""")
+def _term_sql(term: str) -> str:
+    hay = "lower(concat_ws(' ', p_partkey, p_name, p_type, p_brand))"
+    return f"CASE WHEN p_partkey::VARCHAR = '{term}' THEN 100 WHEN contains(p_partkey::VARCHAR, '{term}') THEN 30 WHEN contains(lower(p_name), '{term}') THEN 20 WHEN contains({hay}, '{term}') THEN 5 ELSE 0 END"
+
+
+@query(f"""SELECT p_partkey, p_brand, p_name, ({_term_sql('red')} + {_term_sql('17')} + {_term_sql('brand')})::INT AS score FROM part WHERE ({_term_sql('red')} + {_term_sql('17')} + {_term_sql('brand')}) > 0 ORDER BY score DESC, p_brand, p_name LIMIT 25""")
 def search_rank(spark, sf):
-    return search.rank_documents(table(spark, sf, "part"), "red 1", "p_name", "p_type", "p_partkey", 25)
+    return search.rank_documents(table(spark, sf, "part"), "Red 17, BRAND?", "p_partkey", "p_name", "p_brand", ["p_type"], 25)
+
+
+@query("""SELECT p_partkey, p_brand, p_name, greatest(1, 100 - (row_number() OVER (ORDER BY p_partkey) - 1))::INT AS score FROM part QUALIFY row_number() OVER (ORDER BY p_partkey) <= 60""")
+def search_without_terms(spark, sf):
+    return search.rank_documents(table(spark, sf, "part"), "", "p_partkey", "p_name", "p_brand", ["p_type"], 60)
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
@@ -641,11 +686,23 @@ def json_properties(spark, sf):
 
 
 @query("""WITH d AS (SELECT quality AS t, length(text) AS score FROM documents JOIN labels USING (doc_id)), g AS (SELECT score, count(*) FILTER (t = 1) AS p, count(*) FILTER (t <> 1) AS m FROM d GROUP BY 1)
-SELECT score, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(m) OVER w / sum(m) OVER (), 6) AS fpr FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""")
+SELECT score::DOUBLE AS score, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(m) OVER w / sum(m) OVER (), 6) AS fpr, round(sum(p) OVER w / (sum(p) OVER w + sum(m) OVER w), 6) AS precision, round(sum(p) OVER w / sum(p) OVER (), 6) AS recall FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""")
 def roc_curve(spark, sf):
-    by = _classes(spark, sf).groupBy("score").agg(F.count_if(F.col("t") == 1).alias("p"), F.count_if(F.col("t") != 1).alias("m"))
-    upto, every = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return by.select(F.col("score").cast("long").alias("score"), F.round(F.sum("p").over(upto) / F.sum("p").over(every), 6).alias("tpr"), F.round(F.sum("m").over(upto) / F.sum("m").over(every), 6).alias("fpr"))
+    return rounded(metrics.curve_points(_classes(spark, sf), "t", "score"), ["tpr", "fpr", "precision", "recall"])
+
+
+@query("""WITH d AS (SELECT toxic AS t, least(length(text) / 2000, 1) AS s FROM documents JOIN labels USING (doc_id))
+SELECT least(floor(s * 10), 9)::INT AS bin, count(*) AS n, round(avg(s), 6) AS mean_score, round(avg((t = 1)::INT), 6) AS share FROM d GROUP BY 1""")
+def calibration_curve(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id", F.least(F.length("text") / 2000, F.lit(1.0)).alias("s")).join(table(spark, sf, "labels"), "doc_id")
+    return rounded(metrics.calibration(df, "toxic", "s"), ["mean_score", "share"])
+
+
+@query(f"""WITH c AS {_CLASSES_SQL}, l AS (SELECT k AS label, (SELECT count(*) FROM c WHERE t = k) AS actual, (SELECT count(*) FROM c WHERE p = k) AS said, (SELECT count(*) FROM c WHERE t = k AND p = k) AS hit FROM (SELECT t AS k FROM c UNION SELECT p FROM c)),
+m AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS pr, CASE WHEN actual > 0 THEN hit / actual ELSE 0 END AS re FROM l)
+SELECT label, actual, said, hit, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM m""")
+def class_metrics(spark, sf):
+    return rounded(metrics.per_class(_classes(spark, sf), "t", "p"), ["precision", "recall", "f1"])
 
 
 @query("""SELECT floor(value / 50)::BIGINT AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
@@ -653,14 +710,10 @@ def histogram(spark, sf):
     return rounded(table(spark, sf, "events").groupBy(F.floor(F.col("value") / 50).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")), ["mean"])
 
 
-@query(f"""WITH {_PAIRS_SQL}, s AS (SELECT abs(yi - yj) / greatest(1 - sim, 1e-6) AS sali FROM k WHERE rank <= 5 AND sim >= 0.2 AND NOT (sim >= 1 AND yi = yj))
-SELECT round(quantile_cont(sali, 0.95), 5) AS p95, count(*) AS n_pairs FROM s""")
+@query(f"WITH {_CLIFF_PAIRS_SQL} SELECT round(p95, 5) AS p95, n_pairs FROM n")
 def sali_normalizer(spark, sf):
-    y = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
-    pairs = _neighbours(spark, sf).where("sim >= 0.2").join(y.select(F.col("id").alias("i"), F.col("y").alias("yi")), "i").join(y.select(F.col("id").alias("j"), F.col("y").alias("yj")), "j")
-    gap = F.abs(F.col("yi") - F.col("yj"))
-    rows = pairs.where(~((F.col("sim") >= 1) & (gap == 0))).select((gap / F.greatest(1 - F.col("sim"), F.lit(1e-6))).alias("sali"))
-    return rows.agg(F.round(F.percentile("sali", 0.95), 5).alias("p95"), F.count("*").alias("n_pairs"))
+    pairs = similarity.cliff_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 0.2, "dot")
+    return rounded(similarity.normalizer(pairs), ["p95"], 5)
 
 
 @query("""SELECT vec_id, CASE WHEN a = 'invalid_features' OR b = 'invalid_features' THEN 'invalid_features' WHEN a = 'out_of_domain' OR b = 'out_of_domain' THEN 'out_of_domain' ELSE 'in_domain' END AS status
@@ -697,10 +750,11 @@ def category_codes(spark, sf):
 @query("""SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS q90, round(quantile_cont(value, 0.95), 6) AS q95, CASE WHEN avg(value) / max(value) >= 0.9 THEN 'excellent'
   WHEN avg(value) / max(value) >= 0.8 THEN 'good' WHEN avg(value) / max(value) >= 0.7 THEN 'acceptable' ELSE 'poor' END AS rating FROM events GROUP BY 1""")
 def numeric_summary(spark, sf):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    out = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), q.alias("q"), (F.avg("value") / F.max("value")).alias("score"))
-    names = ("median", "q90", "q95")
-    return out.select("event_type", "n", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(names)], scalars.rating(F.col("score")).alias("rating"))
+    df = table(spark, sf, "events")
+    q = frame.quantiles(df, "value", {"median": 0.5, "q90": 0.9, "q95": 0.95}, ["event_type"])
+    score = df.groupBy("event_type").agg((F.avg("value") / F.max("value")).alias("score"))
+    out = rounded(q.join(score, "event_type"), ["median", "q90", "q95"])
+    return out.select("event_type", "n", "median", "q90", "q95", scalars.rating(F.col("score")).alias("rating"))
 
 
 @query("""WITH a AS (SELECT l_returnflag AS k, avg(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_returnflag AS k, avg(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
