@@ -67,3 +67,49 @@ def stability(df: DataFrame, run: str, values: list[str]) -> DataFrame:
     return means.select("column", F.abs(F.col("mean") - whole).alias("d"), whole.alias("m")).groupBy("column").agg((F.avg("d") / F.abs(F.max("m"))).alias("instability"))
 
 
+
+
+def short_keywords_only(keywords, least: int = 5):
+    """Whether every keyword of a pipe-joined text is shorter than `least` letters; false without any."""
+    own = F.filter(F.transform(F.split(F.coalesce(keywords, F.lit("")), r"\|"), lambda k: F.trim(k)), lambda k: k != "")
+    return (F.size(own) > 0) & F.forall(own, lambda k: F.length(k) < least)
+
+
+def judge_items(df: DataFrame, keys: list[str], samples: dict[str, tuple[str, int]], order: str) -> DataFrame:
+    """One row for each item to judge: its rows, and for each sample the first distinct values of a column in order, joined by pipes.
+
+    Values meet with their first place alone before they are put in order; an item's distinct values are cut to the sample.
+    """
+    out = df.groupBy(*keys).agg(F.count("*").alias("row_count"))
+    for name, (column, n) in samples.items():
+        first = df.where(F.col(column).isNotNull() & (F.trim(F.col(column)) != "")).groupBy(*keys, column).agg(F.min(order).alias("_o"))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", column))
+        few = first.withColumn("_r", rank).where(F.col("_r") <= n)
+        values = F.transform(F.array_sort(F.collect_list(F.struct("_r", column))), lambda s: s[column])  # noqa: B023
+        out = out.join(few.groupBy(*keys).agg(F.array_join(values, "|").alias(name)), keys, "left")
+    return out
+
+
+def judged(df: DataFrame, decisions: DataFrame, keys: list[str], reject: str = "reject", reason: str = "reason") -> DataFrame:
+    """All rows with the decision on their item (retained without one) and its reason; both outputs are filters of it. One decision an item."""
+    out = df.join(decisions.select(*keys, reject, reason), keys, "left")
+    return out.withColumn("decision", F.when(F.coalesce(F.col(reject), F.lit(False)), "rejected").otherwise("retained")).drop(reject)
+
+
+def chunk_totals(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Chunks and characters of each stream of text, on a batch or a stream of rows."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("n_chars"))
+
+
+def extracted(c, kind: str):
+    """Names (capitalized words), numbers or structures (runs of a line notation with a bond or ring mark) of a text, as an array."""
+    patterns = {"names": r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b", "numbers": r"(-?\d+(?:\.\d+)?)", "structures": r"(?<!\S)([A-Za-z0-9@+\-\[\]()=#/\\]*[=#()\[\]][A-Za-z0-9@+\-\[\]()=#/\\]*)(?!\S)"}
+    return F.regexp_extract_all(c, F.lit(patterns[kind]), F.lit(1))
+
+
+def numeric_consistency(df: DataFrame, group: str, text: str) -> DataFrame:
+    """One row: the mean over positions of max(0, 1 - std / |mean|) of the numbers that texts of all groups have there; 1 without any."""
+    each = df.select(group, F.posexplode(extracted(F.col(text), "numbers")).alias("at", "x")).withColumn("x", F.col("x").cast("double"))
+    by = each.groupBy("at").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n")).where("n > 1")
+    one = F.when(F.col("m") == 0, (F.col("s") == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.col("s") / F.abs("m")))
+    return by.agg(F.coalesce(F.avg(one), F.lit(1.0)).alias("consistency"))

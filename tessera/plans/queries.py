@@ -785,3 +785,6 @@ def enriched_nations(spark, sf):
     by = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.sum("s_acctbal").alias("b"))
     out = nations.join(by, F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return rounded(out.select("n_name", "r_name", F.coalesce("n", F.lit(0)).alias("n_suppliers"), F.coalesce("b", F.lit(0.0)).alias("balance")), ["balance"], 2)
+
+
+from tessera.plans import more as _more  # noqa: E402, F401 - registers further queries

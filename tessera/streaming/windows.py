@@ -14,6 +14,26 @@ def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, width: str, step: str, late: str = "1 hour") -> DataFrame:
+    """Counts and sums by overlapping windows and type; the watermark bounds the state."""
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
+    out = events.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+
+
+def stale(beats: DataFrame, worker: str, at: str, seconds: int = 90) -> DataFrame:
+    """(worker, last_seen, stale): whether a worker's last heartbeat is more than so many seconds before the newest of all."""
+    last = beats.groupBy(worker).agg(F.max(at).alias("last_seen"))
+    newest = last.agg(F.max("last_seen").alias("_now"))
+    return last.join(F.broadcast(newest)).select(worker, "last_seen", (F.col("last_seen") < F.col("_now") - F.expr(f"INTERVAL {seconds} SECOND")).alias("stale"))
+
+
+def journal(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """An append-only journal of JSON lines as a stream."""
+    return spark.readStream.schema(schema).json(folder)
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     if events.isStreaming:
         events = events.withWatermark("ts", late)
