@@ -1,10 +1,8 @@
 """Near-duplicates by 64-bit SimHash, linked through vantage-point trees.
 
 A fingerprint is cut into four bands of 16 bits. Two fingerprints that differ in at
-most three bits agree in at least one band, so one tree is grown per band. Its upper
-levels use the band's own Hamming distance from fixed corner points, where the search
-radius is zero and the triangle bound leaves a single branch; the next level takes
-the distance of the whole fingerprint from a fixed vantage point and cuts it into
+most three bits agree in at least one band, so fingerprints meet in shards of equal
+bands; this equality prunes most. Within a band the distance of the whole fingerprint from a fixed vantage point cuts a shard into
 rings. A fingerprint whose distance is within the radius of its ring's upper boundary
 is also sent as a visitor to the next ring, since its partners may lie beyond. Vantage
 points are constants, so nothing is gathered to choose them. Inside a shard a
@@ -529,6 +527,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
         nodes.join(members.join(roots, "component").select("fp", "root"), "fp", "left").select(F.col("fp").alias("f"), F.coalesce("root", "first_id").alias("component_id")),
         "classes",
     )
+    for read in (nodes, parts):
+        forget(read)
     out = marks.join(named, marks.fp == named.f, "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

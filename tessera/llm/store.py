@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64, shared_dir, slices, small
+from .common import forget, materialize, mix64, shared_dir, slices, small
 from .packing import default_tokenizer
 from .tokens import encoder, rest
 from .wordhash import _WORDS
@@ -142,6 +142,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
     width = F.lit(encoder(tokenizer).dtype.itemsize).alias("width")
     manifest = local.join(F.broadcast(totals), "pid").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "root", "recipe", "sizes", width)
     manifest.write.option("compression", "zstd").parquet(f"{path}/manifest")
+    forget(local)
 
 
 def _local_start(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import forget, materialize
 
 #: Queries that are broadcast together (16 MB at 64 dimensions), and those of them that are scored together.
 QUERIES = 1 << 15
@@ -214,6 +214,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         found = _ranked(vectors.mapInArrow(_search(tiles, k), _ROWS), k)
         found = materialize(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found")
         done = found if done is None else done.unionByName(found)
+    for read in (vectors, asked):
+        forget(read)
     return done if done is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
