@@ -26,7 +26,7 @@ SPACE = "▁"
 #: Below the least score: what an unknown character costs (the library's constant).
 UNKNOWN_PENALTY = 10.0
 #: Distinct words that a worker remembers; then it starts anew.
-CACHE = 300_000
+CACHE = 500_000
 #: Longer words are matched at all positions at once.
 LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -104,10 +104,10 @@ class Pieces:
             if len(np.unique(h)) < len(h):
                 raise ValueError("two pieces share a hash")
             self.tables[n] = (h[order], ids[order], np.array([self.score[i] for i in ids])[order], codes[order])
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length: whole columns advance together."""
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, as little-endian 32-bit integers: whole columns advance together."""
         n, m = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, m).astype(np.uint64)
         prefix = np.zeros((m + 1, n), np.uint64)
@@ -149,15 +149,18 @@ class Pieces:
             now = np.where(at > 0, piece[at, rows], -1)
             out.append((now, np.where(at > 0, back[at, rows], 0), at.copy()))
             at = np.where(at > 0, back[at, rows], 0)
-        found = []
         stacked = np.stack([o[0] for o in out[::-1]], axis=1)
-        starts = np.stack([o[1] for o in out[::-1]], axis=1)
-        for r in range(n):
-            keep = stacked[r] >= 0
-            found.append(self._spelled_out(words[r], stacked[r][keep], starts[r][keep]))
+        keep = stacked >= 0
+        flat, ends = stacked[keep].astype("<u4").tobytes(), (4 * np.cumsum(keep.sum(axis=1))).tolist()
+        found = [flat[s:t] for s, t in zip([0, *ends[:-1]], ends, strict=True)]
+        lost = np.flatnonzero((stacked == self.unknown).any(axis=1))
+        if len(lost):
+            starts = np.stack([o[1] for o in out[::-1]], axis=1)
+            for r in lost.tolist():
+                found[r] = self._spelled_out(words[r], stacked[r][keep[r]], starts[r][keep[r]])
         return found
 
-    def _one(self, word: str) -> np.ndarray:
+    def _one(self, word: str) -> bytes:
         """Ids of one long word: every piece is looked up at all positions together, then the best path is taken along the hits."""
         m = len(word)
         codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -195,19 +198,20 @@ class Pieces:
             path.append(back[e])
             e = start[back[e]]
         path.reverse()
-        return self._spelled_out(word, np.array([piece[k] for k in path]), np.array([start[k] for k in path]))
+        ids = np.array([piece[k] for k in path])
+        return self._spelled_out(word, ids, np.array([start[k] for k in path])) if (ids == self.unknown).any() else ids.astype("<u4").tobytes()
 
-    def _spelled_out(self, word: str, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _spelled_out(self, word: str, ids: np.ndarray, starts: np.ndarray) -> bytes:
         """Unknown characters as their bytes, or a run of them as one unknown where the model has no bytes."""
         lost = ids == self.unknown
-        if self.bytes and lost.any():
+        if self.bytes:
             out = []
             for i, s in zip(ids.tolist(), starts.tolist(), strict=True):
                 out += [self.bytes[b] for b in word[s].encode("utf-8", "replace")] if i == self.unknown else [i]
             ids = np.array(out)
-        elif lost.any():
+        else:
             ids = ids[~(lost & np.concatenate([[False], lost[:-1]]))]
-        return ids.astype("<u4")
+        return ids.astype("<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encode the words not yet known, by length; a length's words in parts of bounded size."""
@@ -251,8 +255,8 @@ class Pieces:
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         lists = [self.prepared(t) for t in texts]
         self.learn({w for ws in lists for w in ws})
-        known = self.words
-        return [np.concatenate([known[w] for w in ws]) if ws else np.zeros(0, "<u4") for ws in lists]
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, ws)), "<u4") for ws in lists]
 
     def decode(self, ids) -> str:
         """The text of ids: bytes join into characters, one leading space goes, control pieces are silent."""
