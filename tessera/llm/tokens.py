@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 from itertools import islice
 
 import numpy as np
@@ -16,13 +15,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct chunks that a worker remembers; then it starts anew.
 CACHE = 600_000
-#: Those of them that it keeps from one task to the next (about 60 MB).
-KEPT = 250_000
+#: Those of them that it keeps from one task to the next (about 100 MB).
+KEPT = 450_000
 
 #: A plain word as its tokenizers split it in any case: one white space, letters, then signs. Latin-1 letters only, whose class and case no Unicode version disputes; no apostrophe, which may begin a suffix.
 _PLAIN = re.compile("([ \\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: White space to Python, but not to every regular expression library.
 _ODD = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+_ODD_ASCII = _ODD[:4]
 #: White space before a space: there, a text can't be cut at its single spaces.
 _RUN = re.compile(r"\s ")
 
@@ -57,7 +58,9 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        size = self.tokenizer.get_vocab_size()
+        #: the bytes of each id
+        self.one = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         self.letters = _byte_letters()
         self.signs: dict[str, bytes] = {}
         self.after_space = _AfterSpace(self)
@@ -76,8 +79,8 @@ class Encoder(dict):
 
     def _merged(self, word: str) -> bytes:
         """The ids of one pre-token."""
-        ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()]))]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        one = self.one
+        return b"".join([one[t.id] for t in self.model.tokenize(word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()]))])
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
@@ -96,8 +99,8 @@ class Encoder(dict):
         return out
 
     def _spaced_word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(self.letters[32] + word)]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        one = self.one
+        return b"".join([one[t.id] for t in self.model.tokenize(self.letters[32] + word)])
 
     def _signs(self, text: str) -> bytes:
         if text not in self.signs:
@@ -110,7 +113,7 @@ class Encoder(dict):
         """The ids of one text, as bytes of self.dtype. Null is empty."""
         if not text:
             return b""
-        if self.chunks is None or any(c in text for c in _ODD):
+        if self.chunks is None or any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)):
             return np.array(self._ids(text), self.dtype).tobytes()
         if len(self) > CACHE:
             self.clear()
@@ -137,6 +140,12 @@ class _AfterSpace(dict):
             if rest[-1:] in (",", ".") and rest[:-1].isalpha():
                 out = self[rest] = self[rest[:-1]] + self.encoder._signs(rest[-1])
                 return out
+        elif rest.isalpha() and _WORD.fullmatch(rest):
+            out = self[rest] = self.encoder._merged(" " + rest)
+            return out
+        elif rest[-1:] in (",", ".") and _WORD.fullmatch(rest, 0, len(rest) - 1):
+            out = self[rest] = self[rest[:-1]] + self.encoder._signs(rest[-1])
+            return out
         first, *others = self.encoder.chunks(" " + rest)
         if others:
             return self[first[1:]] + b"".join(map(self.encoder.__getitem__, others))
