@@ -59,3 +59,8 @@ def json_safe(df: DataFrame) -> Column:
     """A row as JSON in which NaN and infinities are null."""
     fix = lambda f: F.when(~F.isnan(F.col(f"`{f.name}`")) & (F.abs(F.col(f"`{f.name}`")) < float("inf")), F.col(f"`{f.name}`")) if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`")
     return F.to_json(F.struct(*[fix(f).alias(f.name) for f in df.schema]), {"ignoreNullFields": "false"})
+
+
+def parse_vector(c: Column, size: int | None = None) -> Column:
+    """A vector written as a JSON list; null if it holds what is no finite number or has another size."""
+    return parse_probabilities(c, size)

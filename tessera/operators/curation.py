@@ -127,3 +127,14 @@ def standardization_summary(df: DataFrame, raw: str, standardized: str) -> DataF
         F.count_if(ok & (F.col(raw) != F.col(standardized))).alias("n_changed"), F.count_distinct(raw).alias("n_raw"), F.count_distinct(standardized).alias("n_standardized"),
         F.count_if(ok & stereo(raw) & ~stereo(standardized)).alias("n_stereo_lost"),
     )
+
+
+def duplicate_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many rows repeat an earlier one in the columns, and how many different ones there are. Nulls are equal."""
+    groups = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.count("*").alias("distinct_rows"))
+
+
+def joined_distinct(df: DataFrame, by: list[str], column: str, name: str, separator: str = "|") -> DataFrame:
+    """By group the rows and the sorted distinct values of a column as text."""
+    return df.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(column)), separator).alias(name), F.count("*").alias("n"))

@@ -227,3 +227,53 @@ def insights(mean: float, std: float, parts: dict[str, float], change: float | N
     if change is not None and change < -0.05:
         out.append(f"regression of {-change:.3f} since the run before")
     return out or ["no critical issue"]
+
+
+def running(df: DataFrame, by: str, order: str, value: str, step: float = 0.05) -> DataFrame:
+    """df with the best and the mean of a value so far, its change and the change's direction, within each group in order."""
+    w = Window.partitionBy(by).orderBy(order)
+    upto, change = w.rowsBetween(Window.unboundedPreceding, 0), F.col(value) - F.lag(value).over(w)
+    out = df.withColumns({"best": F.max(value).over(upto), "running_mean": F.avg(value).over(upto), "change": change})
+    return out.withColumn("trend", F.when(F.col("change") > step, "up").when(F.col("change") < -step, "down").otherwise("flat"))
+
+
+def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """Rows and mean by bins of equal width, numbered from zero."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def pivoted(df: DataFrame, by: str, column: str, values: list, aggregate: Column) -> DataFrame:
+    """One row a group with an aggregate for each of the known values of a column."""
+    return df.groupBy(by).pivot(column, values).agg(aggregate)
+
+
+def two_runs(df: DataFrame, run: str, first, second, by: str, value: str) -> DataFrame:
+    """The mean of a value by group in two runs, and their difference; groups of one run alone have nulls."""
+    one = lambda r, name: df.where(F.col(run) == r).groupBy(by).agg(F.avg(value).alias(name))
+    return one(first, "first_run").join(one(second, "second_run"), by, "full").withColumn("difference", F.col("second_run") - F.col("first_run"))
+
+
+def summary(df: DataFrame, value: str, by: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles by group with the rating of the mean over the greatest value."""
+    q = quantiles(df, value, probabilities, by)
+    names = [f"_g{k}" for k in range(len(by))]
+    score = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg((F.avg(value) / F.max(value)).alias("_score"))
+    same = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return q.join(score, same).withColumn("rating", rating(F.col("_score"))).drop("_score", *names)
+
+
+def recommendations(df: DataFrame, by: str, candidate: str, score: str) -> DataFrame:
+    """The best and the worst candidate of each group by a score, ties to the least."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.min_by(candidate, F.struct(-F.col(score), F.col(candidate))).alias("best"), F.min_by(candidate, F.struct(F.col(score), F.col(candidate))).alias("worst"))
+
+
+def four_recommendations(df: DataFrame, candidate: str, hardest: str, delta: str, random: str, deviation: str, seconds: str, tie: str | None = None) -> DataFrame:
+    """One row: the best candidate overall (by hardest split, tie-breaker, change and random split, then time; missing is worst), on the hardest split, by stability and by time."""
+    bad, worst = F.lit(float("inf")), lambda c: -F.coalesce(F.col(c), F.lit(float("-inf")))
+    overall = F.struct(worst(hardest).alias("a"), (worst(tie) if tie else F.lit(0.0)).alias("b"), worst(delta).alias("c"), worst(random).alias("d"), F.coalesce(F.col(seconds), bad).alias("e"), F.col(candidate).alias("f"))
+    return df.agg(
+        F.min_by(candidate, overall).alias("best_overall"), F.min_by(candidate, F.struct(worst(hardest), F.col(candidate))).alias("best_hardest_split"),
+        F.min_by(candidate, F.when(F.col(deviation).isNotNull(), F.struct(F.col(deviation), F.col(candidate)))).alias("best_stability"), F.min_by(candidate, F.struct(F.coalesce(F.col(seconds), bad), F.col(candidate))).alias("best_fast"),
+    )

@@ -306,10 +306,10 @@ def outliers_by_metric(spark, sf):
 
 
 @query("""WITH r AS (SELECT o_custkey AS m, extract(year FROM o_orderdate) AS r, o_totalprice AS y, o_totalprice * (0.9 + (o_orderkey % 5) / 20) AS p FROM orders), e AS (SELECT avg(x) AS rmse FROM (SELECT sqrt(avg((y - p) ** 2)) AS x FROM r GROUP BY r))
-SELECT m AS o_custkey, round(avg(y), 2) AS y, round(avg(p), 2) AS p, round(stddev_pop(p), 2) AS std, count(*) AS n, abs(avg(y) - avg(p)) >= 2 * max(rmse) AS outlier FROM r, e GROUP BY 1""")
+SELECT m AS o_custkey, round(avg(y), 2) AS y, round(avg(p), 2) AS p, round(stddev_pop(p), 0) AS std, count(*) AS n, abs(avg(y) - avg(p)) >= 2 * max(rmse) AS outlier FROM r, e GROUP BY 1""")
 def cv_by_molecule(spark, sf):
     df = table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("r"), F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * (0.9 + (F.col("o_orderkey") % 5) / 20)).alias("p"))
-    return rounded(rounded(evaluation.cross_validated(df, "o_custkey", "r", "y", "p"), ["y", "p"], 2), ["std"], 2)
+    return rounded(rounded(evaluation.cross_validated(df, "o_custkey", "r", "y", "p"), ["y", "p"], 2), ["std"], 0)
 
 
 @query("""SELECT event_id, user_id, round(max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS best FROM events""")
@@ -331,6 +331,14 @@ def parsed_paths(spark, sf):
     return table(spark, sf, "pages").where(ok).select("page_id", test.alias("part"))
 
 
+@query("""WITH b AS (SELECT s_suppkey AS c, CASE WHEN s_suppkey % 7 > 0 THEN s_acctbal END AS h, s_nationkey::DOUBLE AS d, s_suppkey % 5 AS r, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 11 END AS x, s_suppkey % 13 AS t FROM supplier)
+SELECT (SELECT c FROM b ORDER BY h DESC NULLS LAST, d DESC, r DESC, t, c LIMIT 1) AS best_overall, (SELECT c FROM b ORDER BY h DESC NULLS LAST, c LIMIT 1) AS best_hardest_split, (SELECT c FROM b WHERE x IS NOT NULL ORDER BY x, c LIMIT 1) AS best_stability, (SELECT c FROM b ORDER BY t, c LIMIT 1) AS best_fast""")
+def four_recommendations(spark, sf):
+    k = F.col("s_suppkey")
+    df = table(spark, sf, "supplier").select(k.alias("c"), F.when(k % 7 > 0, F.col("s_acctbal")).alias("h"), F.col("s_nationkey").cast("double").alias("d"), (k % 5).cast("double").alias("r"), F.when(k % 3 == 0, k % 11).alias("x"), (k % 13).cast("double").alias("t"))
+    return evaluation.four_recommendations(df, "c", "h", "d", "r", "x", "t")
+
+
 # Domains
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import scalars
-from tessera.operators import activity, curation, ensemble, frame, landscape, metrics, models, outliers, search, similarity, splits
+from tessera.functions import labels, scalars
+from tessera.operators import activity, align, curation, ensemble, evaluation, frame, landscape, metrics, models, outliers, search, similarity, splits
 from tessera.plans.storage import shared_folder
 from tessera.sources import readers
 from tessera.streaming import windows
@@ -169,7 +169,7 @@ def unpivot_measures(spark, sf):
 
 @query("""SELECT l_returnflag, round(sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 2) AS "F", round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 2) AS "O" FROM lineitem GROUP BY 1""")
 def pivot_status(spark, sf):
-    return rounded(table(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.sum("l_quantity")), ["F", "O"], 2)
+    return rounded(evaluation.pivoted(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], F.sum("l_quantity")), ["F", "O"], 2)
 
 
 @query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
@@ -187,8 +187,9 @@ def set_difference(spark, sf):
 
 @query("""SELECT o_orderkey, c_name, coalesce(nullif(c_mktsegment, 'BUILDING'), 'unknown') AS segment, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'""")
 def left_enrichment(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    out = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    own = align.with_suffix(orders, table(spark, sf, "customer"), "c_custkey")
+    out = align.with_suffix(own.withColumnRenamed("c_nationkey", "n_nationkey"), table(spark, sf, "nation"), "n_nationkey")
     return out.select("o_orderkey", "c_name", F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("unknown")).alias("segment"), "n_name")
 
 
@@ -207,10 +208,10 @@ def anti_join(spark, sf):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, p_brand, p_size, coalesce(p_size > 25, false) AS flag, CASE WHEN p_size > 25 THEN 'large' ELSE 'none' END AS tier
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey WHERE l_quantity = 50""")
 def annotation_join(spark, sf):
-    part = frame.stable_first(table(spark, sf, "part").where("p_size > 10").select("p_partkey", "p_brand", "p_size"), ["p_partkey"], ["p_brand", "p_size"])
-    out = table(spark, sf, "lineitem").where("l_quantity = 50").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    flag = F.coalesce(F.col("p_size") > 25, F.lit(False))
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", "p_size", flag.alias("flag"), F.when(F.col("p_size") > 25, "large").otherwise("none").alias("tier"))
+    part = table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size", (F.col("p_size") > 25).alias("flag"), F.when(F.col("p_size") > 25, "large").otherwise("none").alias("tier"))
+    lines = table(spark, sf, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_linenumber", "l_partkey")
+    out = outliers.attach_annotations(lines, part, "l_partkey", "flag", "tier", ["p_brand", "p_size"])
+    return align.with_suffix(out, part.drop("flag", "tier"), "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", "p_size", "flag", "tier")
 
 
 @query("""SELECT doc_id, keywords FROM (SELECT doc_id, concat_ws('|', CASE WHEN regexp_matches(text, '(?i)Apache[- ]?2') THEN 'Apache2' END, CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' END,
@@ -221,13 +222,13 @@ def keyword_retrieval(spark, sf):
 
 @query("""SELECT source, string_agg(DISTINCT lang, '|' ORDER BY lang) AS langs, count(*) AS n FROM documents GROUP BY 1""")
 def keyword_aggregate(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), "|").alias("langs"), F.count("*").alias("n"))
+    return curation.joined_distinct(table(spark, sf, "documents"), ["source"], "lang", "langs")
 
 
 @query("""SELECT part.p_partkey, p_brand, n_lines, round(mean_price, 7) AS mean_price FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n_lines, avg(l_extendedprice) AS mean_price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
 def feature_join(spark, sf):
-    features = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n_lines"), F.avg("l_extendedprice").alias("mean_price"))
-    out = table(spark, sf, "part").select("p_partkey", "p_brand").join(features, F.col("p_partkey") == F.col("l_partkey"), "left").drop("l_partkey")
+    features = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_lines"), F.avg("l_extendedprice").alias("mean_price"))
+    out = align.side_by_side(table(spark, sf, "part").select("p_partkey", "p_brand"), [features], "p_partkey")
     return rounded(out, ["mean_price"], 7)
 
 
@@ -543,10 +544,8 @@ def _days(spark, sf):
   CASE WHEN total - lag(total) OVER (PARTITION BY event_type ORDER BY day) > 0.05 THEN 'up' WHEN total - lag(total) OVER (PARTITION BY event_type ORDER BY day) < -0.05 THEN 'down' ELSE 'flat' END AS trend
 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING)""")
 def running_trends(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("day")
-    upto, change = w.rowsBetween(Window.unboundedPreceding, 0), F.col("total") - F.lag("total").over(w)
-    out = _days(spark, sf).withColumns({"best": F.max("total").over(upto), "running_mean": F.round(F.avg("total").over(upto), 7), "change": F.round(change, 4)})
-    return out.withColumn("trend", F.when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat"))
+    out = evaluation.running(_days(spark, sf), "event_type", "day", "total")
+    return out.withColumns({"running_mean": F.round("running_mean", 7), "change": F.round("change", 4)})
 
 
 @query("""SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS average_rank FROM part""")
@@ -573,7 +572,8 @@ def repeated_folds(spark, sf):
     return splits.folds(table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], 4, 2, seed=3).groupBy("repeat", "fold").agg(F.count("*").alias("n"))
 
 
-@query()
+# orders have small groups beside large ones, so both splits are filled exactly
+@query("""SELECT s AS split, n, 0::BIGINT AS shared_keys FROM (SELECT count(*) AS t FROM orders), LATERAL (VALUES ('train', t - round_even(t * 0.2, 0)::BIGINT), ('test', round_even(t * 0.2, 0)::BIGINT)) v(s, n)""")
 def group_split(spark, sf):
     out = splits.group_split(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", {"train": 0.8, "test": 0.2})
     return splits.check_split(out, ["o_custkey"], "split")
@@ -707,7 +707,7 @@ def class_metrics(spark, sf):
 
 @query("""SELECT floor(value / 50)::BIGINT AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
 def histogram(spark, sf):
-    return rounded(table(spark, sf, "events").groupBy(F.floor(F.col("value") / 50).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")), ["mean"])
+    return rounded(evaluation.histogram(table(spark, sf, "events"), "value", 50), ["mean"])
 
 
 @query(f"WITH {_CLIFF_PAIRS_SQL} SELECT round(p95, 5) AS p95, n_pairs FROM n")
@@ -728,13 +728,13 @@ def status_combine(spark, sf):
 def parse_vectors(spark, sf):
     """Vectors as text, parsed again: of full length and finite."""
     text = table(spark, sf, "embeddings").select("vec_id", F.to_json(F.col("embedding").cast("array<double>")).alias("s"))
-    parsed = text.withColumn("v", F.from_json("s", "array<double>")).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    parsed = text.withColumn("v", labels.parse_vector(F.col("s"), 64)).where("v is not null")
     return parsed.select("vec_id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @query("""SELECT s_nationkey, count(*) AS n, arg_max(s_suppkey, s_acctbal) AS best, arg_min(s_suppkey, s_acctbal) AS worst FROM supplier GROUP BY 1""")
 def recommendations(spark, sf):
-    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.max_by("s_suppkey", "s_acctbal").alias("best"), F.min_by("s_suppkey", "s_acctbal").alias("worst"))
+    return evaluation.recommendations(table(spark, sf, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal")
 
 
 @query("""WITH c AS (SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY f) - 1 AS k FROM (SELECT p_partkey, p_brand, min(p_partkey) OVER (PARTITION BY p_brand) AS f FROM part WHERE p_partkey % 2 = 0))
@@ -742,34 +742,26 @@ SELECT part.p_partkey, coalesce(m.k, -1)::INT AS code FROM part LEFT JOIN (SELEC
 def category_codes(spark, sf):
     """Codes in the order in which training rows (even keys) first show a category; -1 for others."""
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
-    seen = frame.unique(part.where("p_partkey % 2 = 0"), "p_brand", "p_partkey")
-    codes = seen.select("p_brand", (F.row_number().over(Window.orderBy("first_seen")) - 1).cast("int").alias("code"))
-    return part.where("p_partkey % 2 = 1").join(codes, "p_brand", "left").select("p_partkey", F.coalesce("code", F.lit(-1)).alias("code"))
+    return align.first_seen_codes(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), "p_brand", "p_partkey").select("p_partkey", "code")
 
 
 @query("""SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS q90, round(quantile_cont(value, 0.95), 6) AS q95, CASE WHEN avg(value) / max(value) >= 0.9 THEN 'excellent'
   WHEN avg(value) / max(value) >= 0.8 THEN 'good' WHEN avg(value) / max(value) >= 0.7 THEN 'acceptable' ELSE 'poor' END AS rating FROM events GROUP BY 1""")
 def numeric_summary(spark, sf):
-    df = table(spark, sf, "events")
-    q = frame.quantiles(df, "value", {"median": 0.5, "q90": 0.9, "q95": 0.95}, ["event_type"])
-    score = df.groupBy("event_type").agg((F.avg("value") / F.max("value")).alias("score"))
-    out = rounded(q.join(score, "event_type"), ["median", "q90", "q95"])
-    return out.select("event_type", "n", "median", "q90", "q95", scalars.rating(F.col("score")).alias("rating"))
+    out = evaluation.summary(table(spark, sf, "events"), "value", ["event_type"], {"median": 0.5, "q90": 0.9, "q95": 0.95})
+    return rounded(out, ["median", "q90", "q95"]).select("event_type", "n", "median", "q90", "q95", "rating")
 
 
 @query("""WITH a AS (SELECT l_returnflag AS k, avg(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_returnflag AS k, avg(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
 SELECT k AS l_returnflag, round(a.v, 6) AS first_run, round(b.v, 6) AS second_run, round(b.v - a.v, 6) AS difference FROM a FULL JOIN b USING (k)""")
 def run_comparison(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    one = lambda status, name: lines.where(F.col("l_linestatus") == status).groupBy("l_returnflag").agg(F.avg("l_quantity").alias(name))
-    out = one("F", "first_run").join(one("O", "second_run"), "l_returnflag", "full").withColumn("difference", F.col("second_run") - F.col("first_run"))
+    out = evaluation.two_runs(table(spark, sf, "lineitem"), "l_linestatus", "F", "O", "l_returnflag", "l_quantity")
     return rounded(out, ["first_run", "second_run", "difference"])
 
 
 @query("""SELECT count(*) - count(DISTINCT text) AS duplicate_rows, count(DISTINCT text) AS distinct_rows FROM documents""")
 def duplicate_rows(spark, sf):
-    groups = table(spark, sf, "documents").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.count("*").alias("n"))
-    return groups.agg(F.sum(F.col("n") - 1).alias("duplicate_rows"), F.count("*").alias("distinct_rows"))
+    return curation.duplicate_counts(table(spark, sf, "documents"), ["text"])
 
 
 @query("""SELECT p_partkey, round(std, 4) AS std FROM (SELECT p_partkey, stddev_pop(v) AS std FROM (SELECT p_partkey, unnest([p_retailprice, p_size * 30.0, (p_partkey % 97) * 10.0]) AS v FROM part) GROUP BY 1) ORDER BY std DESC, p_partkey LIMIT 5""")
@@ -787,4 +779,5 @@ def enriched_nations(spark, sf):
     return rounded(out.select("n_name", "r_name", F.coalesce("n", F.lit(0)).alias("n_suppliers"), F.coalesce("b", F.lit(0.0)).alias("balance")), ["balance"], 2)
 
 
-from tessera.plans import more as _more  # noqa: E402, F401 - registers further queries
+from tessera.plans import basics as _basics  # noqa: E402, F401 - registers further queries
+from tessera.plans import more as _more  # noqa: E402, F401
