@@ -182,7 +182,7 @@ def stereo_markers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", structures.stereo_markers(c).alias("markers"), structures.has_stereo(c).alias("stereo"))
 
 
-@query(f"""WITH c AS (SELECT * FROM {_CHAIN_SQL} WHERE p_partkey % 3 < 2), k AS (SELECT p_size, p_partkey % 3 AS r, count(*) AS n, median(-log10(p_partkey * 1e-9)) AS m FROM c GROUP BY 1, 2)
+@query(f"""WITH c AS (SELECT * FROM {_CHAIN_SQL} WHERE p_partkey % 3 < 2), k AS (SELECT p_size, p_partkey % 3 AS r, count(*) FILTER (p_partkey > 0) AS n, median(CASE WHEN p_partkey > 0 THEN -log10(p_partkey * 1e-9) END) AS m FROM c GROUP BY 1, 2)
 SELECT repeat('C', p_size) || CASE r WHEN 0 THEN 'O' ELSE '' END AS smiles, n AS n_activity, round(m, 6) AS activity_final FROM k""")
 def clean_dataset(spark, sf):
     df = _chains(spark, sf).select("p_partkey", F.col("s").alias("smiles"), F.col("p_partkey").cast("string").alias("IC50_nM"))

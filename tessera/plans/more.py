@@ -306,10 +306,10 @@ def outliers_by_metric(spark, sf):
 
 
 @query("""WITH r AS (SELECT o_custkey AS m, extract(year FROM o_orderdate) AS r, o_totalprice AS y, o_totalprice * (0.9 + (o_orderkey % 5) / 20) AS p FROM orders), e AS (SELECT avg(x) AS rmse FROM (SELECT sqrt(avg((y - p) ** 2)) AS x FROM r GROUP BY r))
-SELECT m AS o_custkey, round(avg(y), 2) AS y, round(avg(p), 2) AS p, round(stddev_pop(p), 0) AS std, count(*) AS n, abs(avg(y) - avg(p)) >= 2 * max(rmse) AS outlier FROM r, e GROUP BY 1""")
+SELECT m AS o_custkey, round(avg(y), 0) AS y, round(avg(p), 0) AS p, round(stddev_pop(p), 0) AS std, count(*) AS n, abs(avg(y) - avg(p)) >= 2 * max(rmse) AS outlier FROM r, e GROUP BY 1""")
 def cv_by_molecule(spark, sf):
     df = table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("r"), F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * (0.9 + (F.col("o_orderkey") % 5) / 20)).alias("p"))
-    return rounded(rounded(evaluation.cross_validated(df, "o_custkey", "r", "y", "p"), ["y", "p"], 2), ["std"], 0)
+    return rounded(evaluation.cross_validated(df, "o_custkey", "r", "y", "p"), ["y", "p", "std"], 0)
 
 
 @query("""SELECT event_id, user_id, round(max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS best FROM events""")
