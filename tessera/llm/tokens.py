@@ -121,9 +121,26 @@ class Encoder(dict):
             return b"".join(map(self.__getitem__, self.chunks(text)))
         if len(self.after_space) > CACHE:
             self.after_space.clear()
+        if "\n" in text and " \n" not in text:
+            return self._lines(text)
         first, *others = text.split(" ")
         return b"".join([*map(self.__getitem__, self.chunks(first)), *map(self.after_space.__getitem__, others)])
 
+    def _lines(self, text: str) -> bytes:
+        """The same for a text whose lines neither begin nor end with a space: a line's first word goes with the line ends before it."""
+        out, gap, after = [], "", self.after_space.__getitem__
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                gap += "\n"
+            if line:
+                first, *others = line.split(" ")
+                out += map(self.__getitem__, self.chunks(gap + first))
+                out += map(after, others)
+                gap = ""
+        if gap:
+            out.append(self[gap])
+        return b"".join(out)
+
 
 class _AfterSpace(dict):
     """What follows a single space -> the ids of both. Texts that hold further white space are not remembered."""

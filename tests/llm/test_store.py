@@ -94,3 +94,13 @@ def test_crc_shift():
         a, b = rng.bytes(50), rng.bytes(n)
         moved = store._Shift()(np.array([zlib.crc32(a)]), np.array([n]))[0]
         assert int(moved) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_encoder_is_the_librarys_on_odd_texts():
+    rng = random.Random(1)
+    parts = ["a", "bc", "é", ".", ",", " ", "\n", "\n\n", "\t", "d's", "1", " \n", "\r\n", "日本", "Wort,", "ÿes."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(6000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = Encoder(default_tokenizer(name))
+        for t, found in zip(texts, enc.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == found.ids, t
