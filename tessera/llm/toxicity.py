@@ -42,7 +42,7 @@ FEATURES = (
     "near_second_person", "second_person_density", "capital_rate", "shouted_rate", "exclamations", "questions",
     "punctuation_rate", "disguised_words", "masked_words", "stretched_words", "n_words",
 )
-LEXICAL, STRONG, WEAK, YOU, SHOUTED, DISGUISED, MASKED, STRETCHED = (1 << k for k in range(8))
+LEXICAL, YOU, SHOUTED, DISGUISED, MASKED, STRETCHED, STRONG, WEAK = (1 << k for k in range(8))
 #: Lengths of the word beginnings that may become marks beside whole words.
 STEMS = (4, 5, 6)
 #: Distinct words that a worker remembers; then it starts anew.
@@ -61,12 +61,16 @@ def stems(word: str):
 
 
 class Featurizer(dict):
-    """Word as written -> its classes, as bits; calling it gives the dense features of a text."""
+    """Word as written -> its classes, as bits; calling it gives the dense features of a text.
 
-    def __init__(self, strong: list[str], weak: list[str]):
+    Further pairs of mark lists may follow the first; every() gives the features by each
+    of them for the cost of little more than one. Set k has the bits STRONG and WEAK, 2 k places higher.
+    """
+
+    def __init__(self, strong: list[str], weak: list[str], *more: tuple[list[str], list[str]]):
         super().__init__()
         self.lexicon, self.you = frozenset(LEXICON), frozenset(SECOND_PERSON)
-        self.strong, self.weak = frozenset(strong), frozenset(weak)
+        self.marks = [(frozenset(s), frozenset(w)) for s, w in ((strong, weak), *more)]
 
     def __missing__(self, word: str) -> int:
         found = _CORE.search(word)
@@ -75,7 +79,8 @@ class Featurizer(dict):
         if low:
             own = [*stems(low)] if low.isalpha() else [low]
             bits |= LEXICAL * (low in self.lexicon) | YOU * (low in self.you)
-            bits |= STRONG * any(x in self.strong for x in own) | WEAK * any(x in self.weak for x in own)
+            for k, (strong, weak) in enumerate(self.marks):
+                bits |= (STRONG * any(x in strong for x in own) | WEAK * any(x in weak for x in own)) << 2 * k
             bits |= SHOUTED * (len(core) > 2 and core.isupper())
             squeezed = _STRETCH.sub(r"\1", low)
             plain = re.sub(r"[^\w]|_", "", low.translate(DISGUISE))
@@ -86,28 +91,36 @@ class Featurizer(dict):
         return bits
 
     def __call__(self, text: str | None) -> list[float]:
-        """Empty, wordless and null texts give zeros."""
+        """The features by the first pair of mark lists. Empty, wordless and null texts give zeros."""
+        return self.every(text)[0]
+
+    def every(self, text: str | None) -> list[list[float]]:
         words = (text or "").split()
         if not words:
-            return [0.0] * len(FEATURES)
+            return [[0.0] * len(FEATURES) for _ in self.marks]
         if len(self) > CACHE:
             self.clear()
         n, size = len(words), len(text)
-        bits = np.fromiter(map(self.__getitem__, words), np.uint8, n)
-        many = {k: int(np.count_nonzero(bits & k)) for k in (LEXICAL, STRONG, WEAK, YOU, SHOUTED, DISGUISED, MASKED, STRETCHED)}
-        kinds = {k: len({words[i].lower() for i in np.flatnonzero(bits & k)}) if many[k] else 0 for k in (LEXICAL, STRONG)}
-        near = 0
-        if many[YOU]:
-            at, you = np.flatnonzero(bits & (LEXICAL | STRONG | DISGUISED)), np.flatnonzero(bits & YOU)
-            k = np.searchsorted(you, at - NEAR)
-            near = int(np.count_nonzero((k < len(you)) & (you[np.minimum(k, len(you) - 1)] <= at + NEAR)))
+        bits = np.fromiter(map(self.__getitem__, words), np.uint32, n)
+        at = lambda k: np.flatnonzero(bits & k)
+        kinds = lambda places: len({words[i].lower() for i in places.tolist()})
+        lexical, you = at(LEXICAL), at(YOU)
+        shouted, disguised, masked, stretched = (len(at(k)) for k in (SHOUTED, DISGUISED, MASKED, STRETCHED))
         b = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
-        capitals, marks = int(b[65:91].sum()), int(b[33:48].sum() + b[58:65].sum() + b[91:97].sum() + b[123:127].sum())
-        return [
-            many[LEXICAL], many[LEXICAL] / n, kinds[LEXICAL], many[STRONG], many[STRONG] / n, kinds[STRONG], many[WEAK], many[WEAK] / n,
-            near, many[YOU] / n, capitals / size, many[SHOUTED] / n, int(b[33]) / n, int(b[63]) / n,
-            marks / size, many[DISGUISED], many[MASKED] / n, many[STRETCHED] / n, n,
-        ]
+        capitals, signs = int(b[65:91].sum()), int(b[33:48].sum() + b[58:65].sum() + b[91:97].sum() + b[123:127].sum())
+        out = []
+        for k in range(len(self.marks)):
+            strong, weak, near = at(STRONG << 2 * k), len(at(WEAK << 2 * k)), 0
+            if len(you):
+                bad = at(LEXICAL | DISGUISED | STRONG << 2 * k)
+                first = np.searchsorted(you, bad - NEAR)
+                near = int(np.count_nonzero((first < len(you)) & (you[np.minimum(first, len(you) - 1)] <= bad + NEAR)))
+            out.append([
+                len(lexical), len(lexical) / n, kinds(lexical), len(strong), len(strong) / n, kinds(strong), weak, weak / n,
+                near, len(you) / n, capitals / size, shouted / n, int(b[33]) / n, int(b[63]) / n,
+                signs / size, disguised, masked / n, stretched / n, n,
+            ])
+        return out
 
 
 class Model:
@@ -195,12 +208,11 @@ def _features(docs: DataFrame, marks: list[tuple[list[str], list[str]]], *keep:
     """The columns to keep, and x: the features by each pair of mark lists."""
 
     def run(batches):
-        makers = [Featurizer(*m) for m in marks]
+        make = Featurizer(*marks[0], *marks[1:])
         for b in small(batches):
-            x = [[make(t) for make in makers] for t in b.column(len(keep)).to_pylist()]
+            x = [make.every(t) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(x, pa.list_(pa.list_(pa.float64())))], names=[*keep, "x"])
-        for make in makers:
-            make.clear()
+        make.clear()
         trim()
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)

@@ -97,8 +97,11 @@ def test_features_against_their_definitions(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts += [None, "", " \n", "You 1d10t!! BLARNEY sh*t stuuupid ___ f.u.c.k", "é" * 50, "you " * 9 + "idiot", "ZORK zork, *zork* frob workers"]
     make = toxicity.Featurizer(strong, weak)
+    sets = [(strong, weak), (["idiot"], ["zork"]), ([], []), (weak, strong)]
+    several = toxicity.Featurizer(*sets[0], *sets[1:])
     for t in texts:
         assert np.allclose(make(t), plain_features(t, strong, weak)), t
+        assert np.allclose(several.every(t), [plain_features(t, *m) for m in sets]), t
 
 
 def test_marks_are_chosen_within_folds(spark):
