@@ -252,6 +252,7 @@ def test_measures(spark):
 
     a, b = np.array([[3.0, 0, 1], [0, 0, 0]]), np.array([[1.0, 2, 1], [3, 0, 1]])
     assert np.allclose(similarity._similarities(a, b, "min_max"), [[2 / 6, 1], [0, 0]])
+    assert np.allclose(similarity._similarities(a / 2, b / 2, "min_max"), [[2 / 6, 1], [0, 0]])
     assert np.allclose(similarity._similarities(a, b, "tanimoto"), [[4 / 12, 1], [0, 0]])
     assert np.allclose(similarity._similarities(a, b, "euclidean"), [[-np.sqrt(8), 0], [-np.sqrt(6), -np.sqrt(10)]])
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 3.0]), (3, [4.0, 0.0])], "id long, v array<double>")
