@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, small, trim
 from .packing import default_tokenizer
+from .rewrites import Rewrites
 
 SPACE = "▁"
 #: Below the least score: what an unknown character costs (the library's constant).
@@ -66,7 +67,7 @@ class Pieces:
         with open(path, "rb") as f:
             raw = f.read()
         self.text, self.score, self.kind = [], [], []
-        self.dummy_prefix, self.squeeze = True, True
+        self.dummy_prefix, self.squeeze, self.rewrites = True, True, None
         for number, value in fields(raw):
             if number == 1:
                 own = dict(fields(value))
@@ -77,7 +78,7 @@ class Pieces:
                 own = dict(fields(value))
                 self.dummy_prefix, self.squeeze = bool(own.get(3, 1)), bool(own.get(4, 1))
                 if own.get(2):
-                    raise ValueError("models with a table of character rewrites are not supported")
+                    self.rewrites = Rewrites(own[2])
         self.unknown = self.kind.index(UNKNOWN)
         self.bytes = {int(t[1:-1], 16): i for i, t in enumerate(self.text) if self.kind[i] == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -232,8 +233,10 @@ class Pieces:
                 self.words.update(zip(part, self._viterbi(part), strict=True))
 
     def prepared(self, text: str | None) -> list[str]:
-        """A text's words: spaces become meta spaces, one is put in front, and each word begins with its run of them."""
+        """A text's words: characters are rewritten as the model's table says, spaces become meta spaces, one is put in front, and each word begins with its run of them."""
         text = text or ""
+        if self.rewrites:
+            text = self.rewrites(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:

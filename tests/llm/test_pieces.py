@@ -135,3 +135,29 @@ def test_pieces_that_the_user_defined(tmp_path):
     for t in ("aqzjéb qzjé", "qzjéqzjé", "the xqzjé"):
         ours, theirs = p.encode_all([t])[0].tolist(), reference.encode(t)
         assert ours.count(len(p.text) - 1) == theirs.count(len(p.text) - 1) >= 1
+
+
+def test_models_with_a_table_of_rewrites(tmp_path):
+    texts = [*TEXTS, "ﬁ Ⅳ  é ｱ　x\t\x00y", "e\u0301\u0302 a\u0308b", "①②③ ½ ㎏ ™", "  two  spaces  ", "\u200bx\ufeff", "한국어 각", "ﷺ", "tab\there", "a\u00adb", "\x7f\x01"]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice("abc 　é\u0301ﬁ①ｱｶﾞ½\t\n½ÅÅ") for _ in range(40)) for _ in range(300)]
+    for rule in ("nmt_nfkc", "nfkc", "nmt_nfkc_cf"):
+        tool = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+        spec = next(v for k, v in pieces.fields(tool.serialized_model_proto()) if k == 3)
+        raw, out = as_unigram(), b""
+
+        def put(number, value):
+            size, n = b"", len(value)
+            while n > 127:
+                size, n = size + bytes([n & 127 | 128]), n >> 7
+            return bytes([number << 3 | 2]) + size + bytes([n]) + value
+
+        for number, value in pieces.fields(raw):
+            out += put(number, spec if number == 3 else value) if not isinstance(value, int) else b""
+        with open(f"{tmp_path}/{rule}.model", "wb") as f:
+            f.write(out)
+        own, reference = pieces.Pieces(f"{tmp_path}/{rule}.model"), sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/{rule}.model")
+        for t in texts:
+            assert "".join(own.prepared(t)) == tool.normalize(t), (rule, t)
+        same = sum(ids.tolist() == reference.encode(t) for t, ids in zip(texts, own.encode_all(texts), strict=True))
+        assert same > 0.9 * len(texts)
