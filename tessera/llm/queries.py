@@ -8,7 +8,7 @@ from .rules import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash import op2_simhash
 from .store import op6_token_store
-from .substring import op5_substring
+from .substring import OP5_SQL, op5_substring
 from .topk import OP4_SQL, op4_top_k
 from .toxicity import op1_toxicity
 from .urls import OP3_SQL, op3_url_reputation
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_reputation": OP3_SQL, "op4_top_k": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_reputation": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring": OP5_SQL}

@@ -350,3 +350,16 @@ def op5_substring(spark, sf_dir: str) -> DataFrame:
     whole = docs.select("row_key", "text", "doc_id").mapInArrow(_digests, "row_key long, doc_id long, n_words long, sha string")
     out = whole.join(cut, F.col("row_key") == F.col("k"), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, s, md5(array_to_string(ws[s : s + 19], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)
+), r AS (SELECT doc_id, s FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from tessera.llm import substring
@@ -30,6 +31,9 @@ def check(spark, tmp_path, rows):
     spark.createDataFrame(with_more, "doc_id long, text string, places string").repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.op5_substring(spark, str(tmp_path)).collect()}
     assert got == brute(rows)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(f"select doc_id, n_words, n_removed, kept_sha256 from ({substring.OP5_SQL})").fetchall()} == got
 
 
 def test_whole_query_against_brute_force(spark):
