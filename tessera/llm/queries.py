@@ -5,7 +5,7 @@ from __future__ import annotations
 from .packing import op9_best_fit_packing
 from .pieces import op10_sentencepiece
 from .rules import op8_quality_rules
-from .secrets import op7_secret_scan
+from .secrets import OP7_SQL, op7_secret_scan
 from .simhash import op2_simhash
 from .store import op6_token_store
 from .substring import OP5_SQL, op5_substring
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_reputation": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_reputation": OP3_SQL, "op4_top_k": OP4_SQL, "op5_substring": OP5_SQL, "op7_secret_scan": OP7_SQL}

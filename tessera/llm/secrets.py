@@ -132,3 +132,27 @@ def masked(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", **op
 
     done = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
     return some.select(F.col("doc_id").alias(id_col), done.alias("new_text"))
+
+
+def _either(word: str) -> str:
+    """A word's letters in either case, as classes: an expression's own rules of case reach beyond A-Z."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"""({_NAMES})["\\'\\']?\\x20*[:=]\\x20*["\\'\\']?([A-Za-z0-9+/_.=-]+)""".replace("\\'\\'", "''")
+_SQL_KINDS = ((0, _ASSIGN, 2, 6), (1, "AKIA[A-Z0-9]+", 0, 20), (2, "[0-9a-f]+", 0, 24), (3, "[A-Za-z0-9+/_-]+", 0, 20))
+_PART = "[A-Z]?[a-z]*[0-9]{0,4}|[a-z]*([A-Z][a-z]+){0,4}[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, coalesce('v' || source, 'n') AS o, coalesce('v' || source, 'n') || chr(31) || coalesce('v' || lang, 'n') AS r FROM documents),
+l AS ({" UNION ALL ".join(f"SELECT row_id, o, r, {k} AS kind, {least} AS least, regexp_extract_all(t, '{rx}') AS ms, regexp_extract_all(t, '{rx}', {group}) AS vs, string_split_regex(t, '{rx}') AS gs FROM d" for k, rx, group, least in _SQL_KINDS)}),
+e AS (SELECT row_id, o, r, kind, least, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1 : len(ms)]) AS g FROM l WHERE len(ms) > 0),
+f AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY row_id, kind ORDER BY i))::BIGINT AS e FROM e QUALIFY length(v) >= least),
+s AS (SELECT row_id, o, r, kind, v, e - length(m) AS b, e FROM f),
+x AS (SELECT * FROM s WHERE kind < 3 UNION ALL SELECT * FROM s WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+  AND NOT (regexp_matches(v, '/[^/]*/[^/]*/|--') AND len(list_filter(string_split_regex(v, '[+/_-]+'), lambda p: NOT regexp_full_match(p, '{_PART}'))) = 0)
+  AND NOT EXISTS (SELECT 1 FROM s h WHERE h.kind < 3 AND h.row_id = s.row_id AND h.b < s.e AND h.e > s.b)),
+q AS (SELECT v, count(DISTINCT o) <= {FEW_OWNERS} AND count(DISTINCT r) <= {FEW_REPOSITORIES} AS live FROM x GROUP BY v),
+k AS (SELECT x.*, live, (['assign', 'access', 'hex', 'generic'])[kind + 1] || ':' || b || ':' || e AS w FROM x JOIN q USING (v) WHERE kind < 3 OR live),
+a AS (SELECT row_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (live) AS n_live, string_agg(w, ',' ORDER BY b, kind) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY b, kind) AS spans FROM k GROUP BY row_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN a USING (row_id)"""

@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.llm import secrets
@@ -29,6 +30,14 @@ def check(rows, got):
         assert ",".join(kept) == written
 
 
+def same_as_sql(tmp_path, got):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live"]
+    want = sorted(con.execute(f"select {', '.join(names)} from ({secrets.OP7_SQL})").fetchall(), key=repr)
+    assert sorted((tuple(r[n] for n in names) for r in got), key=repr) == want
+
+
 def test_whole_query(spark):
     at = "/root/testdata/sf0.001"
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
@@ -48,6 +57,7 @@ def test_hard_cases(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = secrets.op7_secret_scan(spark, str(tmp_path)).collect()
     check({r[0]: r[1] for r in rows}, got)
+    same_as_sql(tmp_path, got)
     spans = {r.doc_id: r.spans for r in got}
     assert all("generic" not in spans[100 + i] for i in range(5))
     assert spans[200] == spans[201] == "generic:5:32"
@@ -100,7 +110,9 @@ def test_added_spans_against_plain_rules(spark, tmp_path):
         for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", t or ""):
             where.setdefault(m[0], set()).add((source, lang))
     held = lambda v: (len({s for s, _ in where[v]}), len(where[v]))
-    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("generic")] for r in secrets.op7_secret_scan(spark, str(tmp_path)).collect()}
+    rows_got = secrets.op7_secret_scan(spark, str(tmp_path)).collect()
+    same_as_sql(tmp_path, rows_got)
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("generic")] for r in rows_got}
     assert got == {i: generic(t, held) for i, t, _, _ in rows}
     assert not got[10_000] and got[10_100]
 
