@@ -118,3 +118,13 @@ def test_edges(spark):
     assert packing.pack(docs.limit(0), path, 16).count() == 0
     twice = docs.union(docs)
     assert packing.pack(twice, path, 16).count() == 2 * packing.pack(docs, path, 16).count()
+
+
+def test_null_ids_and_repeats_are_packed_like_others(spark):
+    rows = [(None, "a b"), (None, "a b"), (7, None), (7, ""), (8, "word " * 5000)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, piece int").repartition(3)
+    got = packing.pack(docs, packing.default_tokenizer("word_bpe_49k.json"), 2048, 0).collect()
+    assert sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 7 and r.length == 1 for r in got) == 2 and [r.length for r in sorted((r for r in got if r.doc_id == 8), key=lambda r: r.piece)] == [2048, 2048, 905]
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    for a, b in zip(taken, taken[1:], strict=False):
+        assert b[1] == (a[1] + a[2] if a[0] == b[0] else 0)

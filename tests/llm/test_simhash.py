@@ -181,3 +181,12 @@ def test_large_shards_cost_members_not_pairs(monkeypatch):
     fp["label"] = np.where(np.arange(n) < 30, np.arange(n), 99)
     x, y = simhash._across(5, name[:64], fp[:64], 32, 0.8), simhash._across_small(np.full(64, 5), name[:64], fp[:64], 32, 0.8)
     assert sorted(x[1]) == sorted(y[1]) and len(x[1]) > 10
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(f"W{x}" for x in rng.integers(0, 5000, 30_000))
+    rows = [(1, long), (2, long.lower()), (3, "x" * 500_000), (4, "y " * 20_000), (5, "y y y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs, shingle=3).collect()}
+    assert got == brute(rows, 3) and got[1] == got[2] and got[4] == (got[5][0], 4)
