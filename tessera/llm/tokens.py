@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
 
 import numpy as np
 
@@ -15,8 +14,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct chunks that a worker remembers; then it starts anew.
 CACHE = 600_000
-#: Those of them that it keeps from one task to the next (about 100 MB).
-KEPT = 450_000
 
 #: A plain word as its tokenizers split it in any case: one white space, letters, then signs. Latin-1 letters only, whose class and case no Unicode version disputes; no apostrophe, which may begin a suffix.
 _PLAIN = re.compile("([ \\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -178,12 +175,9 @@ class _AfterSpace(dict):
 
 
 def rest(enc: Encoder) -> None:
-    """Keep the chunks that a worker met first, which are the common ones, and give other memory back at the end of a task: Spark keeps more idle workers than tasks run at once."""
-    for own in (enc, enc.after_space):
-        if len(own) > KEPT:
-            kept = list(islice(own.items(), KEPT))
-            own.clear()
-            own.update(kept)
+    """Give memory back at the end of a task: Spark keeps more idle workers than tasks run at once, and later stages use them too."""
+    enc.clear()
+    enc.after_space.clear()
     trim()
 
 
