@@ -712,8 +712,7 @@ def histogram(spark, sf):
 
 @query(f"WITH {_CLIFF_PAIRS_SQL} SELECT round(p95, 5) AS p95, n_pairs FROM n")
 def sali_normalizer(spark, sf):
-    pairs = similarity.cliff_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 0.2, "dot")
-    return rounded(similarity.normalizer(pairs), ["p95"], 5)
+    return rounded(similarity.normalizer(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 0.2, "dot"), ["p95"], 5)
 
 
 @query("""SELECT vec_id, CASE WHEN a = 'invalid_features' OR b = 'invalid_features' THEN 'invalid_features' WHEN a = 'out_of_domain' OR b = 'out_of_domain' THEN 'out_of_domain' ELSE 'in_domain' END AS status

@@ -247,6 +247,43 @@ def test_cliffs_by_the_rules(spark):
     assert (counts.none, counts.low, counts.medium, counts.high) == (0, 7, 2, 3)
 
 
+@pytest.mark.parametrize("few", [0, 3, 1 << 20])
+@pytest.mark.parametrize("measure", ["dot", "tanimoto"])
+def test_cliffs_write_no_pairs(spark, monkeypatch, few, measure):
+    """All scores count for the percentile and the k nearest, but no frame of the size of the pairs is written."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(90, 4)), 3) + 0.5
+    v[:20] = v[0] / np.linalg.norm(v[0])  # copies
+    y = rng.integers(0, 4, 90).astype(float)
+    df = spark.createDataFrame([(k, x.tolist(), float(z)) for k, (x, z) in enumerate(zip(v, y, strict=True))], "id long, v array<double>, y double").repartition(3)
+    want = frame.quantiles(similarity.cliff_pairs(df, "id", "v", "y", 0.3, measure), "sali", {"p": 0.95}).first()
+    assert want.n > 1500
+    sizes = []
+
+    def write(df, label, own=similarity.materialize):
+        out = own(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", write)
+    monkeypatch.setattr(similarity, "FEW", few, raising=False)
+    monkeypatch.setattr(similarity, "PICKED", 7, raising=False)
+    monkeypatch.setattr(similarity, "ROWS", 16)
+    got = {r.id: r for r in similarity.cliffs(df, "id", "v", "y", 0.3, k=3, measure=measure).collect()}
+    # a task writes its counts by bin and three rows a query
+    assert max(sizes) < want.n
+    assert similarity.normalizer(df, "id", "v", "y", 0.3, measure).first() == (pytest.approx(want.p, rel=1e-12), want.n)
+    sim = np.round(similarity._similarities(v, v, measure), 9)
+    for i in range(90):
+        gap = np.abs(y - y[i])
+        near = sorted((-sim[i, j], j) for j in range(90) if j != i and sim[i, j] >= 0.3 and not (sim[i, j] >= 1 and gap[j] <= 0))[:3]
+        raw = max([gap[j] / max(1 + s, similarity.EPSILON) for s, j in near], default=0.0)
+        assert (got[i].n_neighbours, got[i].max_gap, got[i].raw) == (len(near), max([gap[j] for _, j in near], default=0.0), pytest.approx(raw))
+        assert got[i].norm == pytest.approx(min(raw / want.p, 1))
+
+
 def test_measures(spark):
     import numpy as np
 
