@@ -17,7 +17,7 @@ IS_ID, IN_ID, IN_TITLE, ANYWHERE = 100, 30, 20, 5
 
 
 def rank_documents(df: DataFrame, query: str, id_col: str, title: str, kind: str, others: list[str], limit: int | None = None, order: str | None = None) -> DataFrame:
-    """(id, kind, title, score), best first, then by kind and title.
+    """(id, kind, title, score), best first, then by kind, title and id, so that a limit cuts alike however the rows lie.
 
     Each term of the query is worth most if it is the id, less if it stands in the id, in
     the title, or in id, title, kind or the other columns (summary and metadata). A query
@@ -35,7 +35,7 @@ def rank_documents(df: DataFrame, query: str, id_col: str, title: str, kind: str
         out = df.withColumn("score", score)
     else:
         out = with_row_id(df, [order or id_col], "_at").withColumn("score", F.greatest(F.lit(1), 100 - F.col("_at")).cast("int"))
-    out = out.where("score > 0").select(id_col, kind, title, "score").orderBy(F.desc("score"), F.asc(kind), F.asc(title))
+    out = out.where("score > 0").select(id_col, kind, title, "score").orderBy(F.desc("score"), F.asc(kind), F.asc(title), F.asc(id_col))
     return out if limit is None else out.limit(limit)
 
 

@@ -167,6 +167,14 @@ def test_search_and_keywords(spark):
     assert [r.score for r in search.rank_documents(docs, " !", "id", "title", "kind", ["body"], 2).collect()] == [100, 99]
 
 
+def test_search_cuts_ties_by_id(spark):
+    """Rows of equal score, kind and title: the limit keeps the least ids, wherever they lie."""
+    rows = [(k, "red bolt", "tool", "x") for k in range(200, 0, -1)]
+    for n in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "id long, title string, kind string, body string").repartition(n)
+        assert [r.id for r in search.rank_documents(docs, "red", "id", "title", "kind", ["body"], 25).collect()] == list(range(1, 26))
+
+
 def test_keyword_patterns():
     assert scalars.keyword_pattern("CDK2") == scalars.keyword_pattern("CDK-2") == "CDK[- ]?2" and scalars.keyword_pattern("PDE4A") == "PDE[- ]?4A"
     assert scalars.keyword_pattern("kinase") == "kinase" and scalars.keyword_pattern("a b c2") == "a[- ]b[- ]c[- ]2"
