@@ -16,6 +16,7 @@ once.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 
@@ -36,6 +37,8 @@ WINDOW = 16
 MASK = np.uint64(511)
 SHORTEST, LONGEST = 128, 4096
 HASH = 16
+#: Ids whose rolling hashes are computed at a time.
+BLOCK = 1 << 15
 _ROWS = "kind int, hash binary, row long, doc_id long, n_tokens long, payload binary, sizes binary"
 
 
@@ -52,13 +55,37 @@ def merkle_root(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
+#: mix64 of every id of two bytes, plus one.
+_MIXED = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where the low bits of the rolling hash over the last WINDOW ids are zero; in blocks that stay in the processor's cache."""
+    up, down = _WORDS[0].get(BLOCK + WINDOW)
+    value, total, spare = np.empty(BLOCK + WINDOW, np.uint64), np.zeros(BLOCK + WINDOW + 1, np.uint64), np.empty(BLOCK, np.uint64)
+    out = [np.zeros(0, np.int64)]
+    for s in range(0, len(ids) - WINDOW + 1, BLOCK):
+        part = ids[s : s + BLOCK + WINDOW - 1]
+        n = len(part)
+        m = n - WINDOW + 1
+        x, h, y = value[:n], value[:m], spare[:m]
+        x[:] = _MIXED[part] if ids.dtype.itemsize == 2 else mix64(part.astype(np.uint64) + np.uint64(1))
+        x *= up[:n]
+        np.cumsum(x, out=total[1 : n + 1])
+        np.subtract(total[WINDOW : n + 1], total[:m], out=h)
+        h *= down[:m]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # mix64 in place
+            np.right_shift(h, np.uint64(shift), out=y)
+            h ^= y
+            h *= np.uint64(factor)
+        h &= MASK
+        out.append(np.flatnonzero(h == 0) + (s + WINDOW))
+    return np.concatenate(out)
+
+
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """For documents laid end to end (ends: where each stops), the ends of each one's chunks."""
-    up, down = _WORDS[0].get(len(ids) + 1)
-    total = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum(mix64(ids.astype(np.uint64) + np.uint64(1)) * up[: len(ids)], out=total[1:])
-    h = mix64((total[WINDOW:] - total[:-WINDOW]) * down[: max(0, len(ids) + 1 - WINDOW)]) if len(ids) >= WINDOW else np.zeros(0, np.uint64)
-    marks = np.flatnonzero((h & MASK) == 0) + WINDOW
+    marks = _marks(ids)
     out, start = [], 0
     for end in ends.tolist():
         own = marks[np.searchsorted(marks, start + SHORTEST) : np.searchsorted(marks, end)].tolist()
@@ -87,34 +114,38 @@ def _encode(path: str, end_id: int):
         width = enc.dtype.itemsize
         row = TaskContext.get().partitionId() << 33
         sent: set[bytes] = set()  # chunks of this task, at most 16 bytes for each
-        for batch in small(batches, 1024):
-            docs = [None if x is None else int(x) for x in batch.column(0).to_pylist()]
-            raws = [enc.encode(t) + tail for t in batch.column(1).to_pylist()]
-            for s, t in slices([len(r) for r in raws], 4 << 20):
-                data = b"".join(raws[s:t])
-                ends = np.cumsum([len(r) for r in raws[s:t]]) // width
-                out = [[] for _ in range(7)]
-
-                def add(*x, out=out):
-                    for column, v in zip(out, x, strict=True):
-                        column.append(v)
-
-                start = 0
-                for doc, end, cuts in zip(docs[s:t], ends.tolist(), cut_points(np.frombuffer(data, enc.dtype), ends), strict=True):
-                    hashes, at, row = [], start, row + 1
-                    for c in cuts.tolist():
-                        chunk = data[at * width : c * width]
-                        h = _digest(chunk)
-                        hashes.append(h)
-                        if h not in sent:
-                            sent.add(h)
-                            add(0, h, 0, None, c - at, chunk, None)
-                        at = c
-                    sizes = np.diff(cuts, prepend=start).astype("<i4").tobytes()
-                    add(1, merkle_root(hashes), row, doc, end - start, b"".join(hashes), sizes)
-                    start = end
-                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["kind", "hash", "row", "doc_id", "n_tokens", "payload", "sizes"])
+        gc.disable()  # nothing here makes cycles, and each collection walks the tables of words
+        try:
+            for batch in small(batches, 1024):
+                docs = [None if x is None else int(x) for x in batch.column(0).to_pylist()]
+                raws = [enc.encode(t) + tail for t in batch.column(1).to_pylist()]
+                for s, t in slices([len(r) for r in raws], 4 << 20):
+                    data = b"".join(raws[s:t])
+                    ends = np.cumsum([len(r) for r in raws[s:t]]) // width
+                    out = [[] for _ in range(7)]
+
+                    def add(*x, out=out):
+                        for column, v in zip(out, x, strict=True):
+                            column.append(v)
+
+                    start = 0
+                    for doc, end, cuts in zip(docs[s:t], ends.tolist(), cut_points(np.frombuffer(data, enc.dtype), ends), strict=True):
+                        hashes, at, row = [], start, row + 1
+                        for c in cuts.tolist():
+                            chunk = data[at * width : c * width]
+                            h = _digest(chunk)
+                            hashes.append(h)
+                            if h not in sent:
+                                sent.add(h)
+                                add(0, h, 0, None, c - at, chunk, None)
+                            at = c
+                        sizes = np.diff(cuts, prepend=start).astype("<i4").tobytes()
+                        add(1, merkle_root(hashes), row, doc, end - start, b"".join(hashes), sizes)
+                        start = end
+                    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["kind", "hash", "row", "doc_id", "n_tokens", "payload", "sizes"])
+        finally:
+            gc.enable()
         rest(enc)
 
     return run

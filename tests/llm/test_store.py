@@ -104,3 +104,16 @@ def test_encoder_is_the_librarys_on_odd_texts():
         enc = Encoder(default_tokenizer(name))
         for t, found in zip(texts, enc.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
             assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == found.ids, t
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_marks_by_blocks(monkeypatch, kind):
+    """Blocks change no mark: each is where the hash over the last ids alone says so."""
+    monkeypatch.setattr(store, "BLOCK", 64)
+    monkeypatch.setattr(store, "MASK", np.uint64(3))
+    up, _ = store._WORDS[0].get(store.WINDOW)
+    for n in (0, 1, 15, 16, 17, 64, 79, 80, 300):
+        ids = np.random.default_rng(n).integers(0, 1 << 16, n).astype(kind)
+        value = store.mix64(ids.astype(np.uint64) + np.uint64(1))
+        sums = np.array([(value[e - store.WINDOW : e] * up[: store.WINDOW]).sum(dtype=np.uint64) for e in range(store.WINDOW, n + 1)], np.uint64)
+        assert store._marks(ids).tolist() == [k + store.WINDOW for k, h in enumerate(store.mix64(sums)) if h & np.uint64(3) == 0]
