@@ -292,6 +292,22 @@ def test_cliffs_write_no_pairs(spark, monkeypatch, few, measure):
         assert got[i].norm == pytest.approx(min(raw / want.p, 1))
 
 
+def test_tiers_of_copies_write_no_pairs(spark, monkeypatch):
+    """200 copies with two activities have 20 000 pairs; nothing of that size is written on the way to their tiers."""
+    df = spark.createDataFrame([(k, [1.0, 0.0], float(k % 2)) for k in range(200)], "id long, v array<double>, y double")
+    sizes = []
+
+    def write(df, label, own=similarity.materialize):
+        out = own(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", write)
+    found = similarity.tiers(similarity.cliffs(df, "id", "v", "y", 0.9), "norm", "flagged", "id")
+    counts = similarity.tier_counts(found).first()
+    assert (counts.none, counts.low, counts.medium, counts.high) == (0, 120, 40, 40) and max(sizes) < 10_000
+
+
 def test_measures(spark):
     import numpy as np
 
